@@ -1,10 +1,12 @@
 """The queries of this subpackage by name, and SQL where an independent engine can answer them."""
 
-from . import mixing, packing, secrets
+from . import html, language, mixing, packing, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_packing": packing.op2_packing,
+    "op4_language": language.op4_language,
     "op5_secrets": secrets.op5_secrets,
+    "op6_html": html.op6_html,
 }
 ORACLES = {"op1_mixing": mixing.OP1_SQL}
