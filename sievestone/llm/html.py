@@ -105,6 +105,47 @@ LABELLED = """
 3 0 2 1 3 0.5 0 0 0 0 0
 6 0 3 1 0 0 0 0 0 0 0
 5 0.6 4 1 3 1 0 0 0 0 0
+7 0 60 0 5 0 1 0 1 0 0
+25 0 90 0 6 0 1 0 1 0 0
+60 0 70 0 3 0 1 0 1 0 0
+40 0 12 0 8 0 1 0 1 0 0
+18 0 1 1 4 0 0 0 1 0 0
+50 0 30 0 20 0 0 0 1 0 0
+90 0 60 0 70 0 0 0 1 0 0
+2 0 9 0 2 0 0 0 1 0 0
+9 0.3 5 0 6 0 1 0 1 0 0
+30 0 30 0 30 0 1 0 1 0 0
+30 0 30 0 30 0 0 0 1 0 0
+12 0 4 0 60 0 1 0 1 0 0
+80 0 4 0 9 0 1 0 1 0 0
+1 0 80 0 0 0 1 0 1 0 0
+2 1 5 1 2 1 1 1 0 0 0
+40 0 5 0 30 0 1 1 0 0 0
+30 0 80 0 2 0 1 1 0 0 0
+5 0 60 0 4 0 1 1 0 0 0
+55 0 20 0 40 0 0 1 0 0 0
+25 0 9 0 45 0 0 1 0 0 0
+4 0 70 0 60 0 0 1 0 0 0
+60 0 5 1 60 0 0 1 0 0 0
+9 0 3 1 50 0 0 1 0 1 0
+4 0.5 80 0 6 0 1 0 0 0 1
+1 1 90 0 0 0 1 0 0 0 1
+2 1 2 1 2 1 1 0 0 0 1
+9 0.9 40 0 3 1 1 0 0 0 1
+1 0 2 1 1 0 1 0 0 0 1
+3 0 2 1 4 0 1 0 0 0 1
+55 0.3 2 1 6 0 1 0 0 0 1
+20 0 0 0 0 0 1 0 0 0 1
+1 0 1 1 1 1 1 0 0 1 1
+4 1 3 1 70 0 1 0 0 1 1
+6 0.6 7 0 8 0 1 0 0 0 1
+20 0 3 1 0 0 1 0 0 0 1
+1 0 1 1 0 0 1 0 0 0 1
+9 1 5 1 0 0 1 0 0 0 1
+5 1 3 1 60 0 1 0 0 0 1
+12 1 4 1 30 0 1 0 0 0 1
+2 0.9 9 0.8 1 0 1 0 0 0 1
+40 0 9 0.8 2 0 1 0 0 1 1
 """
 
 

@@ -132,10 +132,11 @@ def fit(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_l
             yield pa.RecordBatch.from_arrays([pa.array([size_class(len(a)) for a, _ in pairs], pa.int32()), pa.array(best, pa.float64())], names=["class", "cosine"])
 
     lowest = {r["class"]: r.low for r in sample.select("at", "counts").mapInArrow(nearest, "class int, cosine double").groupBy("class").agg(F.min("cosine").alias("low")).collect()} if centers else {}
-    low = 0.0
-    for k in range(len(found.bars)):  # longer texts have larger cosines, so no bar is below that of shorter ones
-        low = max(low, min([v for c, v in lowest.items() if c >= k], default=low))
-        found.bars[k] = slack * low
+    if lowest:
+        shortest, low = min(lowest), 0.0
+        for k in range(len(found.bars)):  # longer texts have larger cosines, so no bar is below that of shorter ones
+            low = max(low, min([v for c, v in lowest.items() if c >= k], default=low))
+            found.bars[k] = slack * low * 2 ** (min(0, k - shortest) / 2)  # a cosine falls as the root of the length
     return found
 
 

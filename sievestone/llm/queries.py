@@ -1,12 +1,14 @@
 """The queries of this subpackage by name, and SQL where an independent engine can answer them."""
 
-from . import html, language, mixing, packing, secrets
+from . import html, language, mixing, packing, secrets, substrings, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_packing": packing.op2_packing,
+    "op3_substrings": substrings.op3_substrings,
     "op4_language": language.op4_language,
     "op5_secrets": secrets.op5_secrets,
     "op6_html": html.op6_html,
+    "op7_urls": urls.op7_urls,
 }
-ORACLES = {"op1_mixing": mixing.OP1_SQL}
+ORACLES = {"op1_mixing": mixing.OP1_SQL, "op7_urls": urls.OP7_SQL}
