@@ -99,11 +99,14 @@ def spherical_k_means(rows: list[tuple[np.ndarray, np.ndarray]], k: int, rounds:
 
 def fit(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_language: int, clusters: int, slack: float) -> Centroids:
     """From a sample of at most per_language rows of each language; what comes to the driver grows with the languages alone."""
-    known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), "id"))
-    chosen = known.withColumn("nth", place).where(F.col("nth") <= per_language).select("id", "lang").distinct()
-    texts = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    texts = texts.join(chosen, ["id", "lang"], "left_semi")
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), digest.alias("digest"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("digest"))
+    last = known.select("lang", "digest", place.alias("nth")).where(F.col("nth") <= per_language).groupBy("lang").agg(F.max("digest").alias("last")).collect()  # a row for each language
+    if not last:
+        return Centroids([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(DIMENSIONS), np.zeros(DIMENSIONS.bit_length() + 1))
+    bound = F.create_map(*[F.lit(x) for r in last for x in (r.lang, r["last"])])
+    texts = known.where(F.col("digest") <= F.element_at(bound, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -105,43 +105,50 @@ def stretches(flags: np.ndarray, of: np.ndarray, first: np.ndarray, window: int)
     return of[begin], first[begin], first[last] + window
 
 
+def tag_of(digest: bytes) -> int:
+    """Tells rows of one id apart."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def scan(docs: DataFrame, window: int, m: int) -> DataFrame:
     def read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sha, minis, firsts = [], [], [], []
+            n, tags, sha, minis, firsts = [], [], [], [], []
             for text in batch.column(1):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 low, first = super_kmers(words, window, m)
                 n.append(len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                digest = hashlib.sha256(b" ".join(words)).digest()
+                tags.append(tag_of(digest))
+                sha.append(digest.hex())
                 minis.append(low)
                 firsts.append(first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(minis, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int32()))], names=["id", "n_words", "sha", "minis", "firsts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tags, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(minis, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int32()))], names=["id", "tag", "n_words", "sha", "minis", "firsts"])
 
-    return docs.select("id", "text").mapInArrow(read_words, "id long, n_words long, sha string, minis array<long>, firsts array<int>")
+    return docs.select("id", "text").mapInArrow(read_words, "id long, tag long, n_words long, sha string, minis array<long>, firsts array<int>")
 
 
 def packed(docs: DataFrame, window: int) -> DataFrame:
-    """(id, sha, text, found: array of (mini, first, n, hot)) to packed super-k-mers, and digests of hot windows."""
+    """(id, tag, text, found: array of (mini, first, n, hot)) to packed super-k-mers, and digests of hot windows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for name, sha, text, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for name, tag, text, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
-                if hashlib.sha256(b" ".join(words)).hexdigest() != sha:
+                if tag_of(hashlib.sha256(b" ".join(words)).digest()) != tag:
                     continue  # another row of the same id
                 for s in found:
                     first, n = s["first"], s["n"]
                     if s["hot"]:
-                        rows += [(s["mini"], name, sha, i, 1, hashlib.sha256(b" ".join(words[i : i + window])).digest(), True) for i in range(first, first + n)]
+                        rows += [(s["mini"], name, tag, i, 1, hashlib.sha256(b" ".join(words[i : i + window])).digest(), True) for i in range(first, first + n)]
                     else:
-                        rows.append((s["mini"], name, sha, first, n, b" ".join(words[first : first + n + window - 1]), False))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+                        rows.append((s["mini"], name, tag, first, n, b" ".join(words[first : first + n + window - 1]), False))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
             for at in range(0, len(rows), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 10_000], strict=True), kinds, strict=True)], names=["mini", "id", "sha", "first", "n", "words", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 10_000], strict=True), kinds, strict=True)], names=["mini", "id", "tag", "first", "n", "words", "hot"])
 
-    return docs.select("id", "sha", "text", "found").mapInArrow(pack, "mini long, id long, sha string, first int, n int, words binary, hot boolean")
+    return docs.select("id", "tag", "text", "found").mapInArrow(pack, "mini long, id long, tag long, first int, n int, words binary, hot boolean")
 
 
 def judged(strings: DataFrame, window: int, chunk_words: int = 1 << 20) -> DataFrame:
@@ -159,7 +166,7 @@ def judged(strings: DataFrame, window: int, chunk_words: int = 1 << 20) -> DataF
         np.minimum.at(least, same, owner)
         first = np.repeat(np.fromiter((r["first"] for r in rows), np.int64, len(rows)), counts) + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
         which, begin, end = stretches(least[same] < owner, of, first, window)
-        return pa.RecordBatch.from_arrays([pa.array([rows[k]["id"] for k in which], pa.int64()), pa.array([rows[k]["sha"] for k in which], pa.string()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["id", "sha", "begin", "end"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[k]["id"] for k in which], pa.int64()), pa.array([rows[k]["tag"] for k in which], pa.int64()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["id", "tag", "begin", "end"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[dict] = []
@@ -174,31 +181,31 @@ def judged(strings: DataFrame, window: int, chunk_words: int = 1 << 20) -> DataF
         if kept:
             yield judge(kept)
 
-    ordered = strings.select("mini", "id", "sha", "first", "n", "words").repartition(partitions(strings), "mini").sortWithinPartitions("mini", "id", "first")
-    return ordered.mapInArrow(sort, "id long, sha string, begin int, end int")
+    ordered = strings.select("mini", "id", "tag", "first", "n", "words").repartition(partitions(strings), "mini").sortWithinPartitions("mini", "id", "first")
+    return ordered.mapInArrow(sort, "id long, tag long, begin int, end int")
 
 
 def kept_words(docs: DataFrame) -> DataFrame:
-    """(id, sha, text, gone: array of (begin, end)) to words removed and the digest and text of those kept."""
+    """(id, tag, text, gone: array of (begin, end)) to words removed and the digest and text of those kept."""
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for name, sha, text, gone in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for name, tag, text, gone in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
-                if hashlib.sha256(b" ".join(words)).hexdigest() != sha:
+                if tag_of(hashlib.sha256(b" ".join(words)).digest()) != tag:
                     continue
                 out = np.zeros(len(words) + 1, np.int32)
                 np.add.at(out, [g["begin"] for g in gone], 1)
                 np.add.at(out, [g["end"] for g in gone], -1)
                 keep = np.flatnonzero(np.cumsum(out[:-1]) == 0)
                 text = b" ".join([words[k] for k in keep])
-                rows.append((name, sha, len(words) - len(keep), hashlib.sha256(text).hexdigest()))
+                rows.append((name, tag, len(words) - len(keep), hashlib.sha256(text).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "sha", "n_removed", "kept_sha256"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "tag", "n_removed", "kept_sha256"])
 
-    return docs.select("id", "sha", "text", "gone").mapInArrow(drop, "id long, sha string, n_removed long, kept_sha256 string")
+    return docs.select("id", "tag", "text", "gone").mapInArrow(drop, "id long, tag long, n_removed long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, m: int = 8, hot: int = 8192) -> DataFrame:
@@ -206,27 +213,29 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     m = min(m, window)
     rows = docs.select(id_or_last(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
     all_docs = cut(scan(rows, window, m))
-    first_of = all_docs.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("id").alias("id"))
-    unique = all_docs.where(F.col("n_words") >= window).select("id", "sha", "n_words", "minis", "firsts").distinct().join(first_of.select("id", "sha"), ["id", "sha"], "left_semi")
-    kmers = unique.select("id", "sha", "n_words", "firsts", F.posexplode("minis").alias("k", "mini"))
+    long = all_docs.where(F.col("n_words") >= window)
+    first_of = long.groupBy("sha").agg(F.min("id").alias("first_id"))
+    unique = long.join(first_of.select(F.col("first_id").alias("id"), "sha"), ["id", "sha"], "left_semi")
+    kmers = unique.select("id", "tag", "n_words", "firsts", F.posexplode("minis").alias("k", "mini"))
     after = F.coalesce(F.try_element_at("firsts", F.col("k") + 2), (F.col("n_words") - window + 1).cast("int"))
     at = F.element_at("firsts", F.col("k") + 1)
-    kmers = kmers.select("id", "sha", "mini", at.alias("first"), (after - at).alias("n"))
+    kmers = kmers.select("id", "tag", "mini", at.alias("first"), (after - at).alias("n"))
     shared = kmers.groupBy("mini").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("found")).where("low < high")
     spans = kmers.join(shared.select("mini", (F.col("found") > hot).alias("hot")), "mini")
-    spans = spans.groupBy("id", "sha").agg(F.collect_list(F.struct("mini", "first", "n", "hot")).alias("found"))
-    strings = cut(packed(rows.join(spans.hint("shuffle_hash"), "id"), window))
+    spans = spans.groupBy("id", "tag").agg(F.collect_set(F.struct("mini", "first", "n", "hot")).alias("found"))
+    # Only documents that share a minimiser are kept from here on; their texts moved once.
+    suspects = cut(rows.join(spans.hint("shuffle_hash"), "id"))
 
-    usual = judged(strings.where(~F.col("hot")), window)
-    windows = strings.where("hot")
+    usual = judged(packed(suspects.withColumn("found", F.filter("found", lambda s: ~s["hot"])), window), window)
+    windows = packed(suspects.withColumn("found", F.filter("found", lambda s: s["hot"])).where(F.size("found") > 0), window)
     least = windows.groupBy("words").agg(F.min("id").alias("low"))
-    often = windows.join(least, "words").where("low < id").select("id", "sha", F.col("first").alias("begin"), (F.col("first") + window).alias("end"))
-    gone = usual.unionByName(often).groupBy("id", "sha").agg(F.collect_set(F.struct("begin", "end")).alias("gone"))
-    partly = kept_words(rows.join(gone.hint("shuffle_hash"), "id")).distinct()
+    often = windows.join(least, "words").where("low < id").select("id", "tag", F.col("first").alias("begin"), (F.col("first") + window).alias("end"))
+    gone = usual.unionByName(often).groupBy("id", "tag").agg(F.collect_set(F.struct("begin", "end")).alias("gone"))
+    partly = kept_words(suspects.drop("found").join(gone.hint("shuffle_hash"), ["id", "tag"])).distinct()
 
-    copies = all_docs.select("id", "sha", "n_words").join(first_of.withColumnRenamed("id", "first_id"), "sha", "left")
+    copies = all_docs.select("id", "tag", "n_words", "sha").join(first_of, "sha", "left")
     copy = F.col("first_id").isNotNull() & (F.col("first_id") < F.col("id"))
-    result = copies.join(partly, ["id", "sha"], "left")
+    result = copies.join(partly, ["id", "tag"], "left")
     removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     digest = F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha"))
     return result.select(last_to_null(F.col("id")).alias("doc_id"), "n_words", removed.cast("long").alias("n_removed"), digest.alias("kept_sha256"))
