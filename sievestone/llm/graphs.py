@@ -28,7 +28,8 @@ def components(edges: DataFrame, *, rounds: int = 64) -> DataFrame:
         after = cut(small.unionByName(parent.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         # Stars: no centre is itself a member of another star, and no node has two centres.
         roots = after.select(F.col("b").alias("a")).distinct()
-        done = after.join(roots, "a", "left_semi").isEmpty()
+        unsettled = after.join(roots, "a", "left_semi").select("a").unionByName(after.groupBy("a").count().where("count > 1").select("a"))
+        done = unsettled.isEmpty()
         links = after
         if done:
             break
