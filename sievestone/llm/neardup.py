@@ -212,10 +212,10 @@ def linked(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, b
         out_a, out_b = [], []
         if index.num_rows and asking.num_rows:
             column = index["held"].combine_chunks()
-            values, edges = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+            values, edges = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
             sizes, starts, ids = np.diff(edges), edges[:-1], index["a"].to_numpy()
             for name, own in zip(asking["b"].to_pylist(), asking["asked"], strict=True):
-                own = own.values.to_numpy()
+                own = own.values.to_numpy().view(np.uint64)  # sorted as such
                 fits = np.minimum(sizes, len(own)) * 100 >= percent * np.maximum(sizes, len(own))
                 if not fits.any():
                     continue
