@@ -18,17 +18,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder and cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that the session names in spark.checkpoint.dir.
 
-    The folder is the one that the session names in spark.checkpoint.dir; a temporary one is set only
-    where it names none (tests, a single machine).
+    A temporary one is set only where it names none (tests, a single machine).
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievestone-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialises df in the shared checkpoint folder and cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -88,6 +88,15 @@ def keys_of(signatures: np.ndarray, chunks: int) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
+def first_slot(differ: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of the keys that a pair within the distance shares, the first; differ: places that differ, by pairs."""
+    chunk = (np.add.reduceat(differ, starts, axis=1, dtype=np.int64) <= 1).argmax(axis=1)
+    sizes = np.diff(np.r_[starts, differ.shape[1]])
+    inside = (np.arange(differ.shape[1]) >= starts[chunk, None]) & (np.arange(differ.shape[1]) < (starts + sizes)[chunk, None])
+    odd = differ & inside
+    return np.where(odd.any(axis=1), odd.argmax(axis=1), starts[chunk])
+
+
 def signatures_in(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
 
@@ -139,9 +148,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
-def across(members: DataFrame, distance: int, percent: int, block_rows: int) -> DataFrame:
+def across(members: DataFrame, distance: int, percent: int, block_rows: int, chunks: int) -> DataFrame:
     """(low, high): components that hold signatures within the distance under one key.
 
+    A pair of documents speaks under the first key that it shares only.
+
     A key's members are cut into blocks of bounded size, and every pair of blocks is one group.
     """
     per_key = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low < high")
@@ -153,6 +164,9 @@ def across(members: DataFrame, distance: int, percent: int, block_rows: int) ->
     def compare(rows: pa.Table, out: set[tuple[int, int]]) -> None:
         labels, sizes, block = rows["label"].to_numpy(), rows["n"].to_numpy(), rows["own"].to_numpy()
         signed = signatures_in(rows["signature"].combine_chunks())
+        width = signed.shape[1]
+        starts = np.array([c[0] for c in np.array_split(np.arange(width), chunks)])
+        slot = int((keys_of(signed[:1], chunks)[0] == rows["key"][0].as_py()).argmax())
         two_sides = rows["i"][0].as_py() != rows["j"][0].as_py()
         for k in range(len(labels)):
             if two_sides and block[k] != rows["i"][0].as_py():
@@ -160,7 +174,11 @@ def across(members: DataFrame, distance: int, percent: int, block_rows: int) ->
             rest = np.flatnonzero(block != block[k]) if two_sides else np.arange(k + 1, len(labels))
             rest = rest[(labels[rest] != labels[k]) & (np.minimum(sizes[rest], sizes[k]) * 100 >= percent * np.maximum(sizes[rest], sizes[k]))]
             if len(rest):
-                near = rest[(signed[rest] != signed[k]).sum(axis=1) <= distance]
+                differ = signed[rest] != signed[k]
+                close = np.flatnonzero(differ.sum(axis=1) <= distance)
+                if len(close) == 0:
+                    continue
+                near = rest[close[first_slot(differ[close], starts) == slot]]
                 out.update((int(min(labels[k], x)), int(max(labels[k], x))) for x in np.unique(labels[near]))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +268,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     # Keys whose members are all in one component are settled and carry no signatures on.
     unsettled = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     placed = placed.join(unsettled, "key").join(classes.select("rep", "n", "signature"), "rep")
-    pairs = cut(across(placed, distance, percent, block_rows))
+    pairs = cut(across(placed, distance, percent, block_rows, chunks))
     more = linked(pairs, labels, sets, percent, block_rows)
     member = labels.select(F.col("rep").alias("a"), F.col("label").alias("b"))
     joined = components(member.unionByName(more))
