@@ -146,6 +146,16 @@ LABELLED = """
 12 1 4 1 30 0 1 0 0 0 1
 2 0.9 9 0.8 1 0 1 0 0 0 1
 40 0 9 0.8 2 0 1 0 0 1 1
+1 1 1 1 35 0 0 0 0 0 0
+2 1 2 1 60 0 0 0 0 0 0
+3 1 0 0 50 0 0 0 0 0 0
+1 1 1 1 90 0.1 0 0 0 0 0
+4 0.9 30 0 40 0 0 0 0 0 0
+35 0 1 1 0 0 0 0 0 0 1
+60 0 2 1 0 0 0 0 0 0 1
+40 0.05 1 1 1 1 0 0 0 0 1
+80 0 3 1 2 1 0 0 0 0 1
+45 0 0 0 0 0 0 0 0 0 1
 """
 
 

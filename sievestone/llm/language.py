@@ -160,7 +160,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 5 == 0
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4, slack: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4, slack: float = 0.2) -> DataFrame:
     """docs with held_out, lang_pred, score and rejected; learns from the labelled rows that aren't held out."""
     seen = docs.where(~held_out(F.col(id_col)))
     model = fit(seen, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language, clusters=clusters, slack=slack)
