@@ -5,7 +5,8 @@ punctuation and runs of white space as one blank), damped by a logarithm, weight
 frequency and scaled to length 1. Each language has several centroids, found by spherical k-means in a
 bounded sample of its labelled rows, and a text gets the language of the centroid with the largest
 cosine. A text is rejected if that cosine is below what texts of its length had in the sample: cosines
-are compared within classes of distinct trigrams, and the bar is a fraction of the lowest one seen.
+are compared within classes of distinct trigrams, and the bar is a fraction of the lowest one seen,
+lower still for texts too short to tell.
 
 The sample (`per_language` rows of each language, those with the smallest digest of their id) bounds
 what is fitted: document frequencies, centroids and bars. All texts are read whole when predicted.
@@ -34,6 +35,8 @@ from .common import cut, read
 #: Hashed trigrams; bounds the size of a centroid.
 DIMENSIONS = 1 << 14
 UNKNOWN = "und"
+#: The class of distinct trigrams (2**(SURE - 1) or more) from which on a low cosine is no matter of length.
+SURE = 8
 ASCII_LETTER = re.compile("[A-Za-z]")
 FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)).lower()
 
@@ -139,7 +142,7 @@ def fit(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_l
         shortest, low = min(lowest), 0.0
         for k in range(len(found.bars)):  # longer texts have larger cosines, so no bar is below that of shorter ones
             low = max(low, min([v for c, v in lowest.items() if c >= k], default=low))
-            found.bars[k] = slack * low * 2 ** (min(0, k - shortest) / 2)  # a cosine falls as the root of the length
+            found.bars[k] = slack * low * 2 ** (min(0, k - max(shortest, SURE)) / 2)  # a cosine falls as the root of the length
     return found
 
 
