@@ -161,12 +161,11 @@ def across(members: DataFrame, distance: int, percent: int, block_rows: int, chu
     open_ = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "n", "signature")
 
-    def compare(rows: pa.Table, out: set[tuple[int, int]]) -> None:
+    def compare(rows: pa.Table, slot: int, out: set[tuple[int, int]]) -> None:
         labels, sizes, block = rows["label"].to_numpy(), rows["n"].to_numpy(), rows["own"].to_numpy()
         signed = signatures_in(rows["signature"].combine_chunks())
         width = signed.shape[1]
         starts = np.array([c[0] for c in np.array_split(np.arange(width), chunks)])
-        slot = int((keys_of(signed[:1], chunks)[0] == rows["key"][0].as_py()).argmax())
         two_sides = rows["i"][0].as_py() != rows["j"][0].as_py()
         for k in range(len(labels)):
             if two_sides and block[k] != rows["i"][0].as_py():
@@ -190,23 +189,24 @@ def across(members: DataFrame, distance: int, percent: int, block_rows: int, chu
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["low", "high"])
 
-        last = None
+        last, last_slot = None, 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
+            slots = (keys_of(signatures_in(batch.column(6)), chunks) == batch.column(0).to_numpy()[:, None]).argmax(axis=1)
             code = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
             edges = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]).any(axis=1)])
             for a, b in zip(edges, [*edges[1:], batch.num_rows], strict=True):
                 group = tuple(code[a])
                 if group != last and kept:
-                    compare(pa.Table.from_batches(kept), found)
+                    compare(pa.Table.from_batches(kept), last_slot, found)
                     kept = []
-                last = group
+                last, last_slot = group, int(slots[a])
                 kept.append(batch.slice(a, b - a))
             if len(found) > 100_000:
                 yield give()
         if kept:
-            compare(pa.Table.from_batches(kept), found)
+            compare(pa.Table.from_batches(kept), last_slot, found)
         yield give()
 
     ordered = open_.repartition(partitions(open_), "key", "i", "j").sortWithinPartitions("key", "i", "j")
