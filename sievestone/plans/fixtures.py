@@ -1 +1,153 @@
 """Queries over small inline inputs: operators that no provided table feeds."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import autofix, suppressions
+from ..sources import diagnostics, reports, symbols
+from .catalog import query
+from .findings import _findings
+
+FILES = [
+    ("app/users.py", '''
+from fastapi import APIRouter
+router = APIRouter(prefix="/users")
+
+@router.get("/{user_id}", response_model=dict)
+async def read_user(user_id: int):
+    """Reads one."""
+    time.sleep(1)
+    requests.get("http://example.com")
+    return session.query(user_id)
+
+@router.post("/")
+def create_user(name, mail, age, city, zip_code, street, phone):
+    try:
+        total = name + mail
+        return total
+    except Exception:
+        return None
+
+def is_adult(person):
+    if person.age >= 18:
+        return True
+    return False
+'''),
+    ("app/admin.py", '''
+router = APIRouter(prefix="/users")
+
+@router.get("/{user_id}")
+def read_admin(user_id):
+    return load(user_id)
+
+def grown_up(someone):
+    return someone.age >= 18
+
+class Basket:
+    def total(self, rows):
+        result = 0
+        for row in rows:
+            result += row.price * row.count
+        return result
+'''),
+    ("app/cart.py", '''
+def sum_up(self, items):
+    amount = 0
+    for item in items:
+        amount += item.price * item.count
+    return amount
+'''),
+    ("app/broken.py", "def broken(:\n"),
+]
+
+OUTPUTS = {
+    "eslint": json.dumps([{"filePath": "a.ts", "messages": [{"ruleId": "no-var", "severity": 2, "message": "Unexpected var", "line": 3, "column": 5}, {"ruleId": None, "severity": 1, "message": "odd", "line": 4, "column": 1}]}]),
+    "biome": json.dumps({"data": {"diagnostics": [{"category": "lint/x", "severity": "warning", "description": "d", "location": {"path": {"file": "b.ts"}, "start": {"line": 1, "column": 2}}}]}}),
+    "ruff": json.dumps([{"filename": "a.py", "code": "F401", "message": "unused", "location": {"row": 1, "column": 8}}]),
+    "pyright": json.dumps({"generalDiagnostics": [{"file": "a.py", "severity": "error", "message": "bad", "rule": "reportX", "range": {"start": {"line": 0, "character": 4}}}]}),
+    "semgrep": json.dumps({"results": [{"check_id": "py.x", "path": "a.py", "start": {"line": 7, "col": 1}, "extra": {"message": "m", "severity": "WARNING"}}]}),
+    "tsc": "src/a.ts(10,5): error TS2304: Cannot find name 'x'.\nnoise\n",
+    "mypy": "C:\\w\\a.py:3: error: Bad type  [arg-type]\nb.py:4:2: note: see here\n",
+    "cargo": "\n".join(json.dumps({"reason": "compiler-message", "message": {"message": m, "level": lv, "code": {"code": c}, "spans": [{"file_name": "src/l.rs", "line_start": 2, "column_start": 3, "is_primary": True}]}}) for m, lv, c in (("unused", "warning", "unused_variables"), ("clone", "warning", "clippy::clone")) ) + "\nnot json",
+}
+OUTPUTS["clippy"] = OUTPUTS["cargo"]
+
+
+def files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(p, "python", s) for p, s in FILES], "path string, language string, source string")
+
+
+def parsed(spark: SparkSession) -> DataFrame:
+    tables = [diagnostics.PARSERS[tool](spark.createDataFrame([(out,), ("{broken",)], "output string")) for tool, out in OUTPUTS.items()]
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionByName(t)
+    return whole
+
+
+@query()
+def external_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed(spark)
+
+
+@query()
+def external_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.findings_of(parsed(spark))
+
+
+@query()
+def python_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.extract(files(spark)).drop("body", "canonical")
+
+
+@query()
+def structural_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.structural_duplicates(symbols.extract(files(spark)))
+
+
+@query()
+def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.semantic_duplicates(symbols.extract(files(spark)))
+
+
+@query()
+def fastapi_duplicate_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.duplicate_routes(symbols.extract(files(spark)))
+
+
+@query()
+def python_style_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.style_findings(symbols.extract(files(spark)))
+
+
+@query()
+def normalised_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark).select("path", F.sha2(text.normalised_body(F.col("source")), 256).alias("body_hash"), text.token_estimate(F.col("source")).alias("tokens"))
+
+
+@query()
+def suppression_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = "# sievestone-ignore-next-line style.large_function -- known\nx\n// sievestone-ignore-start rust.x\ny\n// sievestone-ignore-end rust.x\n# sievestone-ignore-start react.y\nz\n"
+    return suppressions.directives(spark.createDataFrame([("a.py", source), ("b.py", None)], "path string, source string"))
+
+
+@query()
+def applied_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame([("a.py", "if x:\n    return True\nreturn False\n"), ("b.py", "é = 1\n")], "path string, source string")
+    edits = spark.createDataFrame([("a.py", 0, 34, "return x"), ("b.py", 0, 2, "e")], "path string, start int, stop int, replacement string")
+    return autofix.applied(docs, edits)
+
+
+@query()
+def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.json_rows(_findings(spark, sf_dir))
+
+
+@query()
+def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.sarif_rows(_findings(spark, sf_dir))
