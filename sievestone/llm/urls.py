@@ -6,8 +6,7 @@ intervals, from an addition up to the next entry that is not an addition. Every
 against the entries in force when it was fetched: an interval holds from its begin, inclusive, to its
 end, exclusive.
 
-A capture asks for a bounded set of keys: its host, the domains above it, its host with each prefix of
-its path. The join is an equi-join on key and month, with the instant compared as a residual, so neither
+A capture asks for a few keys: its host, the domains above it, its host with each prefix of its path. The join is an equi-join on key and month, with the instant compared as a residual, so neither
 the number of patterns nor the age of a list widens it. A host that holds a third of all captures is
 split by Spark's skew handling, because the list side of a key is small: one interval per pattern, list
 and month in the usual case.
@@ -27,8 +26,6 @@ from pyspark.sql import functions as F
 from .common import read
 
 OPEN_END = "9999-12-31 00:00:00"
-#: Parts of a path that are offered as prefixes; patterns are cut at as many, so none is missed.
-PATH_PARTS = 4
 
 
 def host_of(url: Column) -> Column:
@@ -41,7 +38,7 @@ def path_of(url: Column) -> Column:
 
 
 def parts(path: Column) -> Column:
-    return F.slice(F.filter(F.split(path, "/"), lambda p: p != ""), 1, PATH_PARTS)
+    return F.filter(F.split(path, "/"), lambda p: p != "")
 
 
 def intervals(entries: DataFrame) -> DataFrame:
