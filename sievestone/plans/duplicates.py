@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import groups
-from .catalog import query, table
+from .catalog import query, spread, table
 
 NORM = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
@@ -104,7 +104,7 @@ LONG_SQL = f"""
 
 
 def _shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang", F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_]+|[^\sA-Za-z0-9_])"), 1).alias("w"))
+    words = spread(_documents(spark, sf_dir).select("doc_id", "lang", "text")).select(F.col("doc_id").alias("id"), "lang", F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_]+|[^\sA-Za-z0-9_])"), 1).alias("w"))
     return words.where(F.size("w") >= 40)
 
 
