@@ -146,7 +146,7 @@ pairs AS (SELECT l, r, least(100, (common * 100 + (x.w + y.w - common) // 2) //
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rare = groups.rare_shingles(_shingled(spark, sf_dir), _runs(), 48, "lang")
+    rare = groups.checkpointed(groups.rare_shingles(_shingled(spark, sf_dir), _runs(), 48, "lang"))
     return groups.weighted_jaccard_pairs(rare, 82, "lang")
 
 
