@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import autofix, suppressions
-from ..sources import diagnostics, reports, symbols
+from ..operators import autofix, routes, rules, suppressions
+from ..sources import braces, diagnostics, reports, symbols
+from . import code
 from .catalog import query
 from .findings import _findings
 
@@ -125,6 +126,33 @@ def python_style_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.style_findings(symbols.extract(files(spark)))
 
 
+@query()
+def fastapi_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = spark.createDataFrame([(p, "python", s) for p, s in (*FILES, *code.ROUTES)], "path string, language string, source string")
+    return routes.fastapi(symbols.extract(sources), braces.extract(sources))
+
+
+@query()
+def syntax_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return braces.extract(code.files(spark))
+
+
+@query()
+def style_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.style(braces.extract(code.files(spark)), guard_clauses=True)
+
+
+@query()
+def react_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = code.files(spark)
+    return rules.react(braces.extract(sources)).unionByName(rules.unstable_keys(sources))
+
+
+@query()
+def rust_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rust(braces.extract(code.files(spark)))
+
+
 @query()
 def normalised_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark).select("path", F.sha2(text.normalised_body(F.col("source")), 256).alias("body_hash"), text.token_estimate(F.col("source")).alias("tokens"))

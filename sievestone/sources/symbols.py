@@ -188,21 +188,11 @@ def semantic_duplicates(defs: DataFrame) -> DataFrame:
 
 def style_findings(defs: DataFrame, *, most_lines: int = 80, most_params: int = 6) -> DataFrame:
     """(rule, path, qualified, line) of rules that look at one definition."""
-    db = ["session.query", "session.execute", "session.commit", "db.query", "db.execute", "cursor.execute"]
-    blocking = ["time.sleep", "requests.get", "requests.post", "requests.put", "urllib.request.urlopen", "subprocess.run", "open"]
     params = F.size(F.filter("params", lambda p: ~p.isin("self", "cls")))
-    calls = lambda names: F.arrays_overlap("calls", F.array(*map(F.lit, names)))
-    routed = F.col("kind") == "route"
     rules = {
         "style.large_function": F.col("end_line") - F.col("start_line") + 1 > most_lines,
         "style.high_parameter_count": params > most_params,
         "python.broad_exception": F.col("body").rlike(r"(?m)^\s*except\s*(:|\(?\s*(Base)?Exception\b)"),
-        "fastapi.blocking_call_in_async_route": routed & F.col("is_async") & calls(blocking),
-        "fastapi.requests_call_inside_async_route": routed & F.col("is_async") & F.exists("calls", lambda c: F.startswith(c, F.lit("requests."))),
-        "fastapi.sync_db_call_inside_async_route": routed & F.col("is_async") & calls(db),
-        "fastapi.missing_response_model": routed & ~F.exists("decorators", lambda d: d.rlike(r"response_model|\.delete\(|/health|Response")),
-        "fastapi.broad_exception_in_route": routed & F.col("body").rlike(r"(?m)^\s*except\s*(:|\(?\s*(Base)?Exception\b)"),
-        "fastapi.large_route_handler": routed & (F.col("end_line") - F.col("start_line") + 1 > most_lines),
     }
     hit = F.explode(F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]), lambda r: r.isNotNull()))
     return defs.where("kind IN ('function', 'method', 'route')").select(hit.alias("rule"), "path", "qualified", F.col("start_line").alias("line"))
