@@ -96,6 +96,34 @@ def baseline_status(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return both.select(F.coalesce("c.fingerprint", "b.fingerprint").alias("fingerprint"), F.coalesce("c.nth", "b.nth").alias("nth"), status.alias("status"))
 
 
+def baseline_matched(current: DataFrame, baseline: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(id, baseline_id, matched_by, status) of current findings, and of baseline entries that none of them meets (fixed; id is null).
+
+    Both sides hold id, path, message and the keys, which are tried one after the other: what is open on
+    both sides meets by the nth of equal keys in the order of ids, so no pairs are made, and each entry
+    meets at most one finding. Null keys meet nothing. A key's round is two windows over one table of
+    both sides; rows that are settled, or have no key, are spread by their ids.
+    """
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "id", "path", "message", *keys)
+    both = side(current, "c").unionByName(side(baseline, "b")).withColumn("by", F.lit(None).cast("string"))
+    both = both.withColumn("other", F.lit(None).cast(f"struct<id:{dict(current.dtypes)['id']},path:string,message:string>"))
+    for key in keys:
+        bucket = F.when(F.col("by").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat_ws("-", "side", F.col("id").cast("string")))
+        both = both.withColumn("bucket", bucket)
+        both = both.withColumn("nth", F.row_number().over(W.partitionBy("bucket", "side").orderBy("id")))
+        pair = W.partitionBy("bucket", "nth")
+        row = F.struct("id", "path", "message")
+        meets = (F.count("*").over(pair) == 2) & F.startswith("bucket", F.lit("k"))
+        found = F.when(F.col("side") == "c", F.max(F.when(F.col("side") == "b", row)).over(pair))
+        both = both.withColumn("meets", meets).withColumn("found", found)
+        both = both.withColumn("other", F.when(F.col("meets"), F.col("found")).otherwise(F.col("other"))).withColumn("by", F.when(F.col("meets"), F.lit(key)).otherwise(F.col("by"))).drop("meets", "found", "nth", "bucket")
+    is_current = F.col("side") == "c"
+    same = F.col("path").eqNullSafe(F.col("other.path")) & F.col("message").eqNullSafe(F.col("other.message"))
+    status = F.when(~is_current, "fixed").when(F.col("by").isNull(), "new").when(same, "existing").otherwise("changed")
+    kept = both.where(is_current | F.col("by").isNull())
+    return kept.select(F.when(is_current, F.col("id")).alias("id"), F.when(is_current, F.col("other.id")).otherwise(F.col("id")).alias("baseline_id"), F.col("by").alias("matched_by"), status.alias("status"))
+
+
 def gate(findings: DataFrame, threshold: str) -> DataFrame:
     """One row: whether the run fails at `high`, `new-high` or `new-medium`, over findings that aren't suppressed."""
     level = rank(F.col("severity"), SEVERITIES) >= (3 if threshold.endswith("medium") else 4)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import findings as ops
+from ..operators import registry, rules
+from ..sources import braces
+from . import code
 from .catalog import query, table
 
 # What an event type means as a finding.
@@ -131,3 +134,49 @@ def ci_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BASE} SELECT rule, count(*) AS n FROM f WHERE id % 5 = 0 GROUP BY rule")
 def suppressed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(spark, sf_dir).where("id % 5 = 0").groupBy("rule").agg(F.count("*").alias("n"))
+
+
+MATCH_KEYS = ("fingerprint", "content", "context")
+SIDE = "SELECT doc_id AS id, {path} AS path, lang AS message, sha256(text || {path}) AS fingerprint, sha256(text) AS content, lang || ':' || (n_chars % 50)::VARCHAR AS context FROM documents WHERE {which}"
+MOVED = "CASE WHEN doc_id % 10 = 3 THEN 'moved' ELSE source END"
+
+
+def _rounds() -> str:
+    """A chain of full rounds: what is open on both sides meets by the nth of equal keys."""
+    parts = [f"c0 AS ({SIDE.format(path=MOVED, which='doc_id % 4 <> 0')}), b0 AS ({SIDE.format(path='source', which='doc_id % 4 <> 1')})"]
+    for k, key in enumerate(MATCH_KEYS):
+        nth = f"row_number() OVER (PARTITION BY {key} ORDER BY id) AS nth"
+        parts.append(f"m{k} AS (SELECT c.id, b.id AS baseline_id, '{key}' AS matched_by, CASE WHEN c.path IS NOT DISTINCT FROM b.path AND c.message IS NOT DISTINCT FROM b.message THEN 'existing' ELSE 'changed' END AS status FROM (SELECT *, {nth} FROM c{k}) c JOIN (SELECT *, {nth} FROM b{k}) b ON c.{key} = b.{key} AND c.nth = b.nth)")
+        parts.append(f"c{k + 1} AS (SELECT * FROM c{k} WHERE id NOT IN (SELECT id FROM m{k})), b{k + 1} AS (SELECT * FROM b{k} WHERE id NOT IN (SELECT baseline_id FROM m{k}))")
+    n = len(MATCH_KEYS)
+    ends = [f"SELECT * FROM m{k}" for k in range(n)] + [f"SELECT id, NULL, NULL, 'new' FROM c{n}", f"SELECT NULL, id, NULL, 'fixed' FROM b{n}"]
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(ends)}"
+
+
+@query(_rounds())
+def baseline_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose path moved meet by content, then by context."""
+    d = table(spark, sf_dir, "documents")
+
+    def side(path: Column) -> list[Column]:
+        return [F.col("doc_id").alias("id"), path.alias("path"), F.col("lang").alias("message"), F.sha2(F.concat("text", path), 256).alias("fingerprint"), F.sha2("text", 256).alias("content"), F.concat("lang", F.lit(":"), (F.col("n_chars") % 50).cast("string")).alias("context")]
+
+    moved = F.when(F.col("doc_id") % 10 == 3, "moved").otherwise(F.col("source"))
+    return ops.baseline_matched(d.where("doc_id % 4 <> 0").select(*side(moved)), d.where("doc_id % 4 <> 1").select(*side(F.col("source"))), MATCH_KEYS)
+
+
+def _code_findings(spark: SparkSession) -> DataFrame:
+    sources = code.files(spark)
+    rows = braces.extract(sources)
+    return registry.findings(rules.union([rules.style(rows), rules.react(rows), rules.unstable_keys(sources), rules.rust(rows)]))
+
+
+@query()
+def rule_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.catalog(spark)
+
+
+@query()
+def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules found in the inline sources, in the order of a report."""
+    return ops.ordered(_code_findings(spark))
