@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import autofix, routes, rules, suppressions
-from ..sources import braces, diagnostics, reports, symbols
+from ..operators import autofix, registry, routes, rules, suppressions
+from ..sources import braces, config, diagnostics, reports, symbols
 from . import code
 from .catalog import query
 from .findings import _findings
@@ -179,3 +179,34 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sarif_rows(_findings(spark, sf_dir))
+
+
+@query()
+def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = ["package.json", "web/tsconfig.app.json", "ESLint.config.mjs", "a/Cargo.toml", "src/main.rs", "uv.lock", None]
+    return spark.createDataFrame([(p,) for p in paths], "path string").select("path", config.kind(F.col("path")).alias("kind"))
+
+
+@query()
+def workspace_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    locks = spark.createDataFrame([("uv.lock", None, ""), ("Cargo.toml", None, "")], "path string, language string, source string")
+    return config.facts(files(spark).unionByName(code.files(spark)).unionByName(locks))
+
+
+CONFIG = """
+[rules]
+"style.complex_condition" = "error"
+"react.unstable.list_key" = "off"
+[rule_options."react.missing_key"]
+exclude_paths = ["right.tsx"]
+[scanner]
+exclude = ["src/**/*.rs", "shapes.rs"]
+"""
+
+
+@query()
+def configured_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = code.files(spark)
+    rows = braces.extract(sources)
+    found = rules.union([rules.style(rows), rules.react(rows), rules.unstable_keys(sources), rules.rust(rows)])
+    return config.configured(registry.findings(found), config.parse(CONFIG))
