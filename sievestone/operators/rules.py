@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Texts that the rules look for.
@@ -185,3 +186,39 @@ def rust(rows: DataFrame, *, most_lines: int = 80, most_params: int = 6, most_un
         repeats(lined.where(c("text").contains(".map_err(")), "rust.repeated_error_mapping", [c("path"), *shaped]),
         repeats(lined.where(c("text").contains("return Err(")), "rust.repeated_validation_logic", [c("path"), *shaped]),
     ])
+
+
+def safe_edits(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edits (path, start, stop, replacement; byte offsets) of the rewrites that keep the meaning.
+
+    Of rewrites that lie inside one another the outermost is made; the next run finds the others.
+    """
+    with_place = rows.withColumn("name", F.concat_ws(":", "start", "stop"))
+    safe = style(with_place).where("rule IN ('style.boolean_return_simplifiable', 'style.expression_arrow_simplifiable')")
+    fragments = react(with_place).where("rule = 'react.redundant_fragment'")
+    parts = F.split("name", ":")
+    edits = safe.unionByName(fragments).select("path", parts[0].cast("int").alias("from"), parts[1].cast("int").alias("to"), F.col("detail").alias("replacement"))
+    before = W.partitionBy("path").orderBy("from", F.desc("to"), "replacement").rowsBetween(W.unboundedPreceding, -1)
+    outermost = edits.withColumn("reached", F.max("to").over(before)).where("reached IS NULL OR reached <= from")
+    bytes_to = lambda at: F.octet_length(F.substr("source", F.lit(1), at))
+    return outermost.join(files.select("path", "source"), "path").select("path", bytes_to(F.col("from")).alias("start"), bytes_to(F.col("to")).alias("stop"), "replacement")
+
+
+def render_graph(rows: DataFrame) -> DataFrame:
+    """(parent, child) of components that render components of the same set of files, each once."""
+    parts = rows.where("kind = 'component'")
+    children = parts.select(F.col("name").alias("parent"), F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"<([A-Z][A-Za-z0-9_]*)"), 1))).alias("child"))
+    return children.join(parts.select(F.col("name").alias("child")), "child", "left_semi").where("parent <> child").select("parent", "child").distinct()
+
+
+def calls_within(rows: DataFrame) -> DataFrame:
+    """(path, definition, start, callee, n): the calls that each function, method, component or hook holds."""
+    d, c = rows.where("kind IN ('function', 'method', 'component', 'hook')").alias("d"), rows.where("kind = 'call'").alias("c")
+    inside = (F.col("d.path") == F.col("c.path")) & (F.col("c.start") >= F.col("d.start")) & (F.col("c.stop") <= F.col("d.stop"))
+    return d.join(c, inside).groupBy("d.path", F.col("d.name").alias("definition"), "d.start", F.col("c.name").alias("callee")).agg(F.count("*").alias("n"))
+
+
+def structural_groups(rows: DataFrame, least_lines: int = 1, least_words: int = 5) -> DataFrame:
+    """Definitions of one language with equal shape, by their first place."""
+    words = F.size(F.filter(F.split("body", r"\s+"), lambda w: w != ""))
+    return repeats(rows.where(F.col("shape_hash").isNotNull() & (body_lines() >= least_lines) & (words >= least_words)), "duplicate.structural.function", [F.col("language"), F.col("shape_hash")])

@@ -210,3 +210,26 @@ def configured_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = braces.extract(sources)
     found = rules.union([rules.style(rows), rules.react(rows), rules.unstable_keys(sources), rules.rust(rows)])
     return config.configured(registry.findings(found), config.parse(CONFIG))
+
+
+@query()
+def component_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = spark.createDataFrame([("a.tsx", "tsx", "const App = () => <Page><Menu /><div /></Page>;\nconst Page = (p) => <Menu>{p.kids}</Menu>;\nfunction Menu() { return <Other />; }\n")], "path string, language string, source string")
+    return rules.render_graph(braces.extract(sources))
+
+
+@query()
+def calls_in_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.calls_within(braces.extract(code.files(spark)))
+
+
+@query()
+def code_structural_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.structural_groups(braces.extract(code.files(spark)))
+
+
+@query()
+def safe_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inline sources after their safe rewrites."""
+    sources = code.files(spark).where("source IS NOT NULL")
+    return autofix.applied(sources, rules.safe_edits(sources, braces.extract(sources)))

@@ -28,6 +28,8 @@ HIDDEN = {
 TOKEN = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`|[A-Za-z_$][\w$]*|\d[\w.]*|\s+|.""", re.S)
 RETURN, CONTINUES, ELSE, SPACE = re.compile(r"\s*return\b"), re.compile(r"\s*(else|catch|finally)\b"), re.compile(r"\s*else\b\s*"), re.compile(r"\s*")
 OPENS_VALUE, NEXT_BOOLEAN, ARROW = re.compile(r"(=|=>|return|\(|,|:)\s*$"), re.compile(r"\s*(return\s+(?:true|false)\s*;?)"), re.compile(r"\s*(?::[^={;]+)?=>\s*")
+VISIBLE = re.compile(r"(pub(?:\([^)]*\))?|export(?:\s+default)?)\s+(?:async\s+|unsafe\s+|const\s+|abstract\s+|declare\s+)*$")
+NOT_CALLED = frozenset("pub if for while switch match return catch function typeof await fn loop in impl where as super constructor Some Ok Err".split())
 DECLARED = re.compile(r"\b(?:let|const|var|for)\s+(?:mut\s+)?\(?\[?([A-Za-z_$][\w$]*)")
 
 
@@ -143,20 +145,23 @@ class Scan:
                     stop = end + 1 if end >= 0 else len(self.mask)
                     inside = self.source[begin:stop]
             other = ELSE.match(self.mask, stop)
-            tail, follows = None, ""
+            tail, follows, ends = None, "", stop
             if other:
                 begin = other.end()
                 end = self.pairs[begin] + 1 if begin in self.pairs else self.mask.find(";", begin) + 1 or len(self.mask)
                 if self.mask.startswith("if", begin) and (b := self.block(begin + 2)) is not None:
                     end = self.pairs[b] + 1
-                tail, follows = self.source[begin:end], self.source[begin:end]
+                tail = follows = self.source[begin:end]
+                ends = end
             else:
                 nxt = NEXT_BOOLEAN.match(self.mask, stop)
-                follows = nxt[1] if nxt and self.language != "rust" else ""
+                if nxt and self.language != "rust":
+                    follows, ends = nxt[1], nxt.end()
             first, second = literal(inside), literal(follows)
+            opposite = first is not None and second is not None and first != second
             self.add(
-                "if", m.start(), stop, head=head.strip(), body=inside, tail=tail, returns=last_returns(inside), yields=first,
-                nests=bool(re.search(r"\bif\b", top(masked(inside, self.language)))), opposite=first is not None and second is not None and first != second,
+                "if", m.start(), ends if opposite else stop, head=head.strip(), body=inside, tail=tail, returns=last_returns(inside), yields=first,
+                nests=bool(re.search(r"\bif\b", top(masked(inside, self.language)))), opposite=opposite,
             )
 
 
@@ -169,8 +174,25 @@ def top(mask: str) -> str:
     return "".join(out)
 
 
+def item_rows(scan: Scan, kinds: str) -> None:
+    """Types and modules by their keywords, imports, and the names that are called."""
+    mask, source = scan.mask, scan.source
+    for m in re.finditer(rf"\b({kinds})\s+([A-Za-z_]\w*)", mask):
+        opening = scan.block(m.end(), ";=" if m[1] == "type" else ";")
+        end = scan.pairs[opening] + 1 if opening is not None else mask.find(";", m.end()) + 1 or len(mask)
+        before = VISIBLE.search(mask[max(0, m.start() - 60) : m.start()])
+        scan.add(m[1], m.start(), end, name=m[2], attributes=[" ".join(before[1].split())] if before else [], body=source[m.start() : end])
+    for m in re.finditer(r"^[ \t]*((?:pub\s+)?use|import|export\s*(?:\*|\{[^}]*\})\s*from)\b[^;\n]*(?:\{[^}]*\}[^;\n]*)?", mask, re.M):
+        text = " ".join(source[m.start() : m.end()].split())
+        scan.add("import", m.start(), m.end(), head=text, name=(re.search(r"""["']([^"']+)["']""", text) or re.search(r"use\s+([\w:]+\w)", text) or [None, None])[1])
+    for m in re.finditer(r"([A-Za-z_$][\w$]*(?:(?:\.|::|\?\.)[A-Za-z_$][\w$]*)*!?)\s*\(", mask):
+        if m[1] not in NOT_CALLED and not mask[max(0, m.start() - 12) : m.start()].rstrip().endswith(("fn", "function")):
+            scan.add("call", m.start(), scan.pairs.get(m.end() - 1, m.end()) + 1, name=m[1])
+
+
 def rust_rows(scan: Scan) -> None:
     mask, source = scan.mask, scan.source
+    item_rows(scan, "struct|enum|trait|mod|type")
     owners = []
     for m in re.finditer(r"^\s*(?:unsafe\s+)?impl\b([^{;]*)\{", mask, re.M):
         if m.end() - 1 in scan.pairs:
@@ -224,6 +246,7 @@ def rust_rows(scan: Scan) -> None:
 
 def script_rows(scan: Scan) -> None:
     mask, source = scan.mask, scan.source
+    item_rows(scan, "class|interface|type|enum")
     for m in re.finditer(r"\bfunction\s*\*?\s*(\w+)\s*(?:<[^({]*>)?\s*\(|\b(?:const|let|var)\s+(\w+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:<[^(]*>\s*)?\(", mask):
         name, opening = m[1] or m[2], m.end() - 1
         if opening not in scan.pairs:
@@ -253,7 +276,7 @@ def script_rows(scan: Scan) -> None:
         opening = m.end() - 1
         inside = scan.inside(opening) if opening in scan.pairs else ""
         found = re.fullmatch(r"\s*return\b\s*(\S.*?);?\s*", inside, re.S)
-        if found and ";" not in masked(found[1], "typescript"):
+        if found and ";" not in top(masked(found[1], "typescript")):
             scan.add("arrow", opening, scan.pairs[opening] + 1, head=found[1].strip(), body=inside)
     for m in re.finditer(r"\.map\(", mask):
         if m.end() - 1 in scan.pairs:
@@ -295,10 +318,16 @@ def python_rows(scan: Scan) -> None:
             for k, node in enumerate(block if isinstance(block, list) else []):
                 if isinstance(node, ast.If):
                     first, second = boolean(node.body), boolean(node.orelse or block[k + 1 : k + 2])
+                    opposite = first is not None and second is not None and first != second
+                    last = block[k + 1] if opposite and not node.orelse else node
                     scan.add(
-                        "if", place(node.lineno, node.col_offset), place(node.end_lineno, node.end_col_offset), head=ast.unparse(node.test), body=text(node.body), tail=text(node.orelse) if node.orelse else None,
-                        returns=isinstance(node.body[-1], ast.Return), nests=any(isinstance(n, ast.If) for n in node.body), yields=first, opposite=first is not None and second is not None and first != second,
+                        "if", place(node.lineno, node.col_offset), place(last.end_lineno, last.end_col_offset), head=ast.unparse(node.test), body=text(node.body), tail=text(node.orelse) if node.orelse else None,
+                        returns=isinstance(node.body[-1], ast.Return), nests=any(isinstance(n, ast.If) for n in node.body), yields=first, opposite=opposite,
                     )
+                elif isinstance(node, (ast.Import, ast.ImportFrom)):
+                    named = [a.name for a in node.names] if isinstance(node, ast.Import) else ["." * node.level + (node.module or "")]
+                    for name in named:
+                        scan.add("import", place(node.lineno, node.col_offset), place(node.end_lineno, node.end_col_offset), name=name, head=ast.unparse(node))
                 elif isinstance(node, ast.ClassDef) and any(ast.unparse(b).split(".")[-1] == "BaseModel" for b in node.bases):
                     fields = [f"{s.target.id}:{ast.unparse(s.annotation)}" for s in node.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name)]
                     scan.add("model", place(node.lineno, node.col_offset), place(node.end_lineno, node.end_col_offset), name=node.name, params=sorted(fields))

@@ -72,3 +72,37 @@ def test_last_statement(text, returns):
 def test_only_child():
     assert braces.single_tag("<p>a</p>") and braces.single_tag("<A b={c} />") and braces.single_tag("{x}")
     assert not braces.single_tag("<p>a</p><p>b</p>") and not braces.single_tag("text") and not braces.single_tag("{a}{b}")
+
+
+def test_safe_fixes(spark):
+    fixed = {r.path: r.source for r in QUERIES["safe_fixes"](spark, "").collect()}
+    tools = fixed["web/tools.tsx"]
+    assert "=> x * 2;" in tools and "=> ({ x });" in tools and "{\n  return age > 17;\n}" in tools and "() => <p>one</p>;" in tools and "return true" not in tools.split("function pick")[0]
+    assert "bool { x > 3 }" in fixed["src/shapes.rs"]
+    files = spark.createDataFrame([("a.py", "python", "# é\ndef f(a):\n    if a:\n        return False\n    return True\n"), ("b.ts", "typescript", "const f = (a) => { return g((b) => { return b; }); };\n")], "path string, language string, source string")
+    edits = rules.safe_edits(files, braces.extract(files))
+    got = {r.path: r.source for r in rules_applied(files, edits)}
+    assert got == {"a.py": "# é\ndef f(a):\n    return not (a)\n", "b.ts": "const f = (a) => g((b) => { return b; });\n"}
+
+
+def rules_applied(files, edits):
+    from sievestone.operators import autofix
+
+    return autofix.applied(files, edits).collect()
+
+
+def test_items_imports_and_calls(spark):
+    text = "use std::io::{self, Read};\npub struct A { x: u8 }\npub(crate) trait T { fn f(&self); }\nmod inner { fn g() { h::k(1); A::new(); println!(\"x\"); } }\n"
+    rows = braces.rows("a.rs", "rust", text)
+    assert {(r["kind"], r["name"], tuple(r["attributes"])) for r in rows if r["kind"] in ("struct", "trait", "mod")} == {("struct", "A", ("pub",)), ("trait", "T", ("pub(crate)",)), ("mod", "inner", ())}
+    assert [r["name"] for r in rows if r["kind"] == "call"] == ["h::k", "A::new", "println!"] and [r["name"] for r in rows if r["kind"] == "import"] == ["std::io"]
+    script = "import { a } from './a';\nimport b from \"b\";\nexport { c } from 'c';\nexport interface P { q: string }\nexport default class K { }\ntype Z = { a: number };\nlog.info(a.b?.c(1));\n"
+    rows = braces.rows("a.ts", "typescript", script)
+    assert [r["name"] for r in rows if r["kind"] == "import"] == ["./a", "b", "c"] and [(r["name"], r["attributes"]) for r in rows if r["kind"] in ("interface", "class", "type")] == [("P", ["export"]), ("K", ["export default"]), ("Z", [])]
+    assert {r["name"] for r in rows if r["kind"] == "call"} == {"log.info", "a.b?.c"}
+    assert [r["name"] for r in braces.rows("a.py", "python", "import os, re\nfrom ..x import y\n") if r["kind"] == "import"] == ["os", "re", "..x"]
+    assert {tuple(r) for r in QUERIES["component_graph"](spark, "").collect()} == {("App", "Page"), ("App", "Menu"), ("Page", "Menu")}
+    calls = {(r.definition, r.callee, r.n) for r in QUERIES["calls_in_definitions"](spark, "").where("path = 'src/shapes.rs'").collect()}
+    assert ("check", "read", 2) in calls and ("open", "File::open", 1) in calls
+    groups = {(r.path, r.name, r.detail) for r in QUERIES["code_structural_duplicates"](spark, "").collect()}
+    assert {("src/shapes.rs", "from_text", "2"), ("src/shapes.rs", "check", "2"), ("src/shapes.rs", "first", "2")} <= groups
