@@ -137,10 +137,24 @@ def unstable_keys(files: DataFrame) -> DataFrame:
     return lines.select(F.lit("react.unstable_list_key").alias("rule"), "path", (F.col("n") + 1).alias("line"), F.lit(None).cast("string").alias("name"), keys.alias("detail"))
 
 
-def pattern_shape(text: Column) -> Column:
+def literals(rows: DataFrame, most: int = 3) -> DataFrame:
+    """Literals of TypeScript and TSX that one file holds more than so many times, at their first place."""
+    return repeats(rows.where("kind = 'literal'"), "style.duplicated_literal", [F.col("path"), F.col("name")], most + 1)
+
+
+def validations(files: DataFrame) -> DataFrame:
+    """Lines of a condition with a raise on the next line, of equal shape, twice or more in one Python file."""
+    lines = F.split("source", "\n")
+    pairs = F.transform(lines, lambda text, n: F.struct((n + 1).alias("line"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("test"), F.trim(F.coalesce(F.get(lines, n + 1), F.lit(""))).alias("then")))
+    hits = F.filter(pairs, lambda p: F.startswith(p["test"], F.lit("if ")) & F.startswith(p["then"], F.lit("raise ")))
+    found = files.where("language = 'python'").select("path", F.lit(None).cast("string").alias("name"), F.explode(hits).alias("p")).select("path", "name", "p.line", F.col("p.line").alias("start"), "p.test", "p.then")
+    return repeats(found, "python.repeated_validation_logic", [F.col("path"), pattern_shape(F.col("test"), 1, ()), F.substring_index("then", "(", 1)])
+
+
+def pattern_shape(text: Column, least: int = 2, kept: tuple[str, ...] = ("Ok", "Err", "Some", "None", "return", "match")) -> Column:
     """Words as an underscore but for those that carry the pattern, white space as single spaces."""
-    core = r"^([^A-Za-z0-9_]*)([A-Za-z0-9_]{2,})([^A-Za-z0-9_]*)$"
-    word = lambda w: F.when(w.rlike(core) & ~F.regexp_extract(w, core, 2).isin("Ok", "Err", "Some", "None", "return", "match"), F.regexp_replace(w, core, "$1_$3")).otherwise(w)
+    core = rf"^([^A-Za-z0-9_]*)([A-Za-z0-9_]{{{least},}})([^A-Za-z0-9_]*)$"
+    word = lambda w: F.when(w.rlike(core) & ~F.regexp_extract(w, core, 2).isin(*kept, ""), F.regexp_replace(w, core, "$1_$3")).otherwise(w)
     return F.array_join(F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), word), " ")
 
 

@@ -168,7 +168,7 @@ def baseline_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _code_findings(spark: SparkSession) -> DataFrame:
     sources = code.files(spark)
     rows = braces.extract(sources)
-    return registry.findings(rules.union([rules.style(rows), rules.react(rows), rules.unstable_keys(sources), rules.rust(rows)]))
+    return registry.findings(rules.union([rules.style(rows), rules.literals(rows), rules.validations(sources), rules.react(rows), rules.unstable_keys(sources), rules.rust(rows)]))
 
 
 @query()

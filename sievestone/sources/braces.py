@@ -30,6 +30,7 @@ RETURN, CONTINUES, ELSE, SPACE = re.compile(r"\s*return\b"), re.compile(r"\s*(el
 OPENS_VALUE, NEXT_BOOLEAN, ARROW = re.compile(r"(=|=>|return|\(|,|:)\s*$"), re.compile(r"\s*(return\s+(?:true|false)\s*;?)"), re.compile(r"\s*(?::[^={;]+)?=>\s*")
 VISIBLE = re.compile(r"(pub(?:\([^)]*\))?|export(?:\s+default)?)\s+(?:async\s+|unsafe\s+|const\s+|abstract\s+|declare\s+)*$")
 NOT_CALLED = frozenset("pub if for while switch match return catch function typeof await fn loop in impl where as super constructor Some Ok Err".split())
+LITERAL = re.compile(r"""'(?:\\.|[^'\\])*(?:'|\Z)|"(?:\\.|[^"\\])*(?:"|\Z)|`(?:\\.|[^`\\])*(?:`|\Z)|[0-9][0-9._]*""", re.S)
 DECLARED = re.compile(r"\b(?:let|const|var|for)\s+(?:mut\s+)?\(?\[?([A-Za-z_$][\w$]*)")
 
 
@@ -247,6 +248,10 @@ def rust_rows(scan: Scan) -> None:
 def script_rows(scan: Scan) -> None:
     mask, source = scan.mask, scan.source
     item_rows(scan, "class|interface|type|enum")
+    for m in LITERAL.finditer(source):
+        text = m[0].replace("_", "") if m[0][0].isdigit() else m[0]
+        if text not in ("0", "1") and (m[0][0].isdigit() or len(text.encode()) > 4):
+            scan.add("literal", m.start(), m.end(), name=text)
     for m in re.finditer(r"\bfunction\s*\*?\s*(\w+)\s*(?:<[^({]*>)?\s*\(|\b(?:const|let|var)\s+(\w+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:<[^(]*>\s*)?\(", mask):
         name, opening = m[1] or m[2], m.end() - 1
         if opening not in scan.pairs:

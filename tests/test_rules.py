@@ -106,3 +106,11 @@ def test_items_imports_and_calls(spark):
     assert ("check", "read", 2) in calls and ("open", "File::open", 1) in calls
     groups = {(r.path, r.name, r.detail) for r in QUERIES["code_structural_duplicates"](spark, "").collect()}
     assert {("src/shapes.rs", "from_text", "2"), ("src/shapes.rs", "check", "2"), ("src/shapes.rs", "first", "2")} <= groups
+
+
+def test_literals_and_validations(spark):
+    script = "const a = 'long', b = 'long', c = 'long';\nf('long', 'ab', 'ab', 'ab', 'ab', 1, 1, 1, 1, 1_0, 10, 10, 10);\n"
+    python = "if  a < 1:\n    raise ValueError('x')\nif b < 2:\n    raise ValueError('y')\nif c:\n    raise ValueError()\nif d < 3:\n    raise KeyError()\n"
+    files = spark.createDataFrame([("a.ts", "typescript", script), ("b.py", "python", python), ("c.py", "python", "if a < 1:\n    raise ValueError()"), ("n.py", "python", None)], "path string, language string, source string")
+    assert {(r.path, r.line, r.name, r.detail) for r in rules.literals(braces.extract(files)).collect()} == {("a.ts", 1, "'long'", "4"), ("a.ts", 2, "10", "4")}
+    assert [(r.path, r.line, r.detail) for r in rules.validations(files).collect()] == [("b.py", 1, "2")]
