@@ -1,15 +1,17 @@
 """Approximate nearest neighbours with a permutation index.
 
 A bounded set of pivots, drawn from the vectors by digest of their ids, gives every vector a
-permutation: its nearest pivots in order. Vectors are dealt to data blocks, and inside a block each
-pivot has an inverted file of the vectors that name it among their `prefix` nearest, with the place it
-takes there. A query sums, over its own nearest pivots, the differences of places (Spearman's footrule,
-a pivot that a vector doesn't name counting as place `prefix`), keeps the `candidates` share of a block
-with the smallest distance, and ranks those by their inner product on the original vectors. The nearest
-of all blocks are merged.
-
-Blocks hold a bounded number of rows and are dealt by digest of the id, so no label, pivot or group of
-equal vectors can crowd one; queries come in blocks too, so each task has one block of either.
+permutation: its nearest pivots in order. Equal vectors are one class, indexed once, with the k + 1
+smallest of its ids (an answer holds k, and a query's own id is none). Classes are dealt to data blocks,
+and inside a block each pivot has an inverted file of the classes that name it among their `prefix`
+nearest, with the place it takes there. A query sums, over its own nearest pivots, the differences of
+places (Spearman's footrule, a pivot that a vector doesn't name counting as place `prefix`), keeps the
+`candidates` share of a block's classes with the smallest distance, and ranks those by their inner
+product on the original vectors; the best are expanded to their ids. The nearest of all blocks are merged.
+
+Blocks hold a bounded number of classes and are dealt by digest of the vector, so no label, pivot or
+group of equal vectors can crowd one, or the candidates; queries come in blocks too, so each task has one
+block of either.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part. Ties in footrule and in nearness go to the smaller id, so equal vectors rank by id. Rows that
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -68,36 +70,53 @@ class InvertedFiles:
         return distance
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, prefix: int, k: int, candidates: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of a block for each query: query row, block row, score."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
+def search_block(members: list[np.ndarray], x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, prefix: int, k: int, candidates: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a block for each query: query row, id, score; members has each class's smallest ids in order."""
+    order = np.argsort([own[0] for own in members], kind="stable")
+    members, x = [members[i] for i in order], x[order]
+    first, last = np.array([own[0] for own in members]), np.array([own[-1] for own in members])
+    second = np.array([own[min(np.searchsorted(own, own[0], "right"), len(own) - 1)] for own in members])
     files = InvertedFiles(nearest_pivots(x, pivots, prefix), len(pivots))
     asked = nearest_pivots(q, pivots, prefix)
-    kept = min(len(ids), max(4 * k, int(np.ceil(candidates * len(ids)))))
+    kept = min(len(x), max(4 * k, int(np.ceil(candidates * len(x)))))
     out_q, out_x, out_s = [], [], []
-    for at in range(len(q)):
+    for at, own in enumerate(query_ids):
         distance = files.footrule(asked[at])
-        if kept < len(ids):
+        if kept < len(x):
             bar = np.partition(distance, kept - 1)[kept - 1]
             sure, tied = np.flatnonzero(distance < bar), np.flatnonzero(distance == bar)
-            chosen = np.concatenate([sure, tied[: kept - len(sure)]])  # rows stand in the order of ids
+            chosen = np.concatenate([sure, tied[: kept - len(sure)]])  # classes stand in the order of their first ids
         else:
-            chosen = np.arange(len(ids))
-        chosen = chosen[ids[chosen] != query_ids[at]]
-        score = (x[chosen] * q[at]).sum(axis=1)  # row by row, so equal vectors have equal scores
-        best = np.lexsort((ids[chosen], -score))[:k]
+            chosen = np.arange(len(x))
+        chosen = chosen[(first[chosen] != own) | (last[chosen] != own)]
+        score = (x[chosen] * q[at]).sum(axis=1)
+        lead = np.where(first[chosen] == own, second[chosen], first[chosen])
+        best = np.lexsort((lead, -score))[:k]  # each has an id to give, so no other class can reach the k best ids
+        ids = [members[c] for c in chosen[best]]
+        score = np.repeat(score[best], [len(i) for i in ids])
+        ids = np.concatenate([*ids, np.empty(0, np.int64)]).astype(np.int64)
+        score, ids = score[ids != own], ids[ids != own]
+        best = np.lexsort((ids, -score))[:k]
         out_q.append(np.full(len(best), at))
-        out_x.append(order[chosen[best]])
+        out_x.append(ids[best])
         out_s.append(score[best])
     joined = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
     return joined(out_q, np.int64), joined(out_x, np.int64), joined(out_s, np.float64)
 
 
+def classes_of(rows: DataFrame, k: int) -> DataFrame:
+    """(v, ids) per different vector: its k + 1 smallest ids in order, an id that repeats as often as it does, k times at most."""
+    counted = rows.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    nth = F.row_number().over(W.partitionBy("v").orderBy("id"))  # with its bound each task passes on k + 1 rows a class
+    few = counted.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    ids = F.array_sort(F.collect_list(F.struct("id", "times")))
+    return few.groupBy("v").agg(F.flatten(F.transform(ids, lambda m: F.array_repeat(m["id"], m["times"]))).alias("ids"))
+
+
 def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, pivots: int = 256, prefix: int = 48, candidates: float = 0.3, rows_per_block: int = 20_000, queries_per_block: int = 4000) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors of largest inner product found for each query.
 
-    pivots bounds the sample that the index is fitted on; every vector is indexed.
+    pivots bounds the sample that the index is fitted on; every different vector is indexed.
     """
     own = lambda df: df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     rows, asked = own(vectors), own(queries)
@@ -106,22 +125,24 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = width[0]["n"]
     rows, asked = rows.where(F.size("v") == width), asked.where(F.size("v") == width)
-    drawn = rows.withColumn("digest", F.md5(F.concat(F.lit("pivot:"), F.col("id").cast("string")))).orderBy("digest", "id").limit(4 * pivots).select("v").distinct().limit(pivots).collect()
+    classes = cut(classes_of(rows, k))
+    drawn = classes.withColumn("digest", F.md5(F.concat(F.lit("pivot:"), F.col("ids")[0].cast("string")))).orderBy("digest", F.col("ids")[0]).limit(pivots).select("v").collect()
     centers = np.array(sorted([list(r.v) for r in drawn]), np.float64)
     centers /= np.linalg.norm(centers, axis=1, keepdims=True)
     prefix_ = min(prefix, len(centers))
-    n, m = rows.count(), asked.count()
+    n, m = classes.count(), asked.count()
     blocks, groups = max(1, -(-n // rows_per_block)), max(1, -(-m // queries_per_block))
-    deal = lambda count: F.pmod(F.xxhash64("id", "v"), F.lit(count))
-    data = rows.select("id", "v", deal(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    wanted = asked.select("id", "v", deal(groups).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    deal = lambda count, *by: F.pmod(F.xxhash64(*by), F.lit(count))
+    data = classes.select("ids", "v", deal(blocks, "v").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    wanted = asked.select("id", "v", deal(groups, "id", "v").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def task(data: pa.Table, wanted: pa.Table) -> pa.Table:
         if data.num_rows == 0 or wanted.num_rows == 0:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, query_ids = data["id"].to_numpy(), wanted["id"].to_numpy()
-        at_q, at_x, score = search_block(ids, matrix(data["v"]), query_ids, matrix(wanted["v"]), centers, prefix_, k, candidates)
-        return pa.table({"query_id": query_ids[at_q], "vec_id": ids[at_x], "score": score})
+        own, query_ids = data["ids"].combine_chunks(), wanted["id"].to_numpy()
+        members = np.split(own.flatten().to_numpy(), np.cumsum(own.value_lengths().to_numpy())[:-1])
+        at_q, found_ids, score = search_block(members, matrix(data["v"]), query_ids, matrix(wanted["v"]), centers, prefix_, k, candidates)
+        return pa.table({"query_id": query_ids[at_q], "vec_id": found_ids, "score": score})
 
     keys = ["block", "group"]
     found = data.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(task, FOUND)

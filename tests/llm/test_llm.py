@@ -317,6 +317,27 @@ def test_search_recall(spark):
     assert np.mean([len(got[ids[q]] & set(ids[t])) / 20 for q, t in zip(asked, true, strict=True)]) >= 0.95
 
 
+def test_search_recall_among_copies(spark):
+    """A third of the rows are copies of one vector, in the middle of a cluster that queries ask for."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(5, 16))
+    x = (centers[rng.integers(0, 5, 2000)] + 0.5 * rng.normal(size=(2000, 16))).astype(np.float32)
+    x[700:1400] = centers[0]
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in search.search(df, df.where("vec_id % 10 = 0"), k=20).collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    x = x.astype(np.float64)
+    least = 1.0
+    for q in range(0, 2000, 10):
+        s = np.round((x * x[q]).sum(axis=1), 9)
+        s[q] = -np.inf
+        bar = np.sort(s)[-20]
+        assert len(got[q]) == len({i for _, i in got[q]}) == 20 and q not in {i for _, i in got[q]}
+        least = min(least, np.mean([s[i] >= bar for _, i in got[q]]))
+    assert least >= 0.8
+
+
 @pytest.mark.parametrize("options", [{}, {"shard_rows": 60, "overlap": 3}, {"shard_rows": 120, "block_rows": 40}])
 def test_near_vectors(spark, options):
     df, x, ids = vectors(spark)
