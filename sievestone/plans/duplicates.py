@@ -121,6 +121,10 @@ def shingle_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.groupBy("shingle").agg(F.count("*").alias("df")).groupBy("df").agg(F.count("*").alias("n_shingles"))
 
 
+#: A shingle is common in this many documents, or this percentage of them where that is more. The SQL has the 48 that this gives at sf0.01.
+COMMON = (20, 5)
+
+
 @query(f"""
 WITH long AS ({LONG_SQL}), f AS (SELECT shingle, count(*) AS df FROM long GROUP BY shingle),
 n AS (SELECT count(DISTINCT id) AS total FROM long)
@@ -130,7 +134,7 @@ FROM f, n WHERE df < 48 GROUP BY 1
 def rare_shingle_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _shingled(spark, sf_dir)
     total = docs.count()
-    f = docs.select("id", F.explode(F.array_distinct(_runs())).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df")).where("df < 48")
+    f = docs.select("id", F.explode(F.array_distinct(_runs())).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") < similarity.common_cutoff(F.lit(total), *COMMON))
     return f.groupBy(similarity.rarity(F.lit(total), F.col("df")).cast("int").alias("weight")).agg(F.count("*").alias("n_shingles"), F.min("df").alias("lowest"), F.max("df").alias("highest"))
 
 
@@ -145,14 +149,15 @@ pairs AS (SELECT l, r, least(100, (common * 100 + (x.w + y.w - common) // 2) //
 """
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rare = groups.checkpointed(groups.rare_shingles(_shingled(spark, sf_dir), _runs(), 48, "lang"))
-    return groups.weighted_jaccard_pairs(rare, 82, "lang")
+def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members, classes of equal texts, and pairs of classes."""
+    members, rare = groups.shingle_classes(_shingled(spark, sf_dir), F.col("w"), _runs(), *COMMON, "lang")
+    return members, *groups.weighted_jaccard_classes(rare, 82, "lang")
 
 
 @query(f"WITH {PAIRS_SQL} SELECT l, r, score FROM pairs WHERE score >= 82")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir)
+    return groups.member_pairs(*_pairs(spark, sf_dir), "lang")
 
 
 @query(f"""
@@ -161,7 +166,7 @@ walk AS (SELECT a AS id, a AS seen FROM edges UNION SELECT w.id, e.b FROM walk w
 SELECT id, min(seen) AS component FROM walk GROUP BY id
 """)
 def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.connected_components(_pairs(spark, sf_dir).select("l", "r"))
+    return groups.connected_components(groups.member_edges(*_pairs(spark, sf_dir), "lang"))
 
 
 def _hash(s: F.Column) -> F.Column:
