@@ -206,6 +206,26 @@ def minhash_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select("l", "r", similarity.percent(equal, F.lit(8)).cast("long").alias("estimate"))
 
 
+def _banded(spark: SparkSession, sf_dir: str, functions: int = 96, rows: int = 4) -> DataFrame:
+    """(l, r, estimate): pairs that share a band of `rows` minima, estimated from all `functions` minima."""
+    hashed = _shingled(spark, sf_dir).select("id", F.explode(F.array_distinct(F.transform(_runs(), lambda s: F.xxhash64(s)))).alias("x"))
+    minima = [F.min(F.xxhash64("x", F.lit(k))) for k in range(functions)]
+    signed = groups.checkpointed(hashed.groupBy("id").agg(F.array(*minima).alias("sig")))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(functions // rows - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows)))
+    keyed = signed.select("id", F.explode(bands).alias("bucket"))
+    sized = keyed.join(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+    met = groups.blocked_pairs(sized, F.col("n"), "id", ["bucket"]).select(F.col("a.id").alias("l"), F.col("b.id").alias("r")).distinct()
+    side = lambda c: signed.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"))
+    equal = F.size(F.filter(F.zip_with("sl", "sr", lambda x, y: x == y), lambda e: e))
+    return met.join(side("l"), "l").join(side("r"), "r").select("l", "r", similarity.percent(equal, F.lit(functions)).alias("estimate"))
+
+
+@query()
+def minhash_estimate_96(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and their estimates by 96 functions in 24 bands of 4."""
+    return _banded(spark, sf_dir)
+
+
 VEC_SQL = """
 v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),

@@ -79,3 +79,23 @@ def test_weights_beyond_48_documents(spark, corpus):
             want[min(8, (len(docs) // n).bit_length())].append(n)
     got = {r.weight: (r.n_shingles, r.lowest, r.highest) for r in QUERIES["rare_shingle_weights"](spark, folder).collect()}
     assert got == {w: (len(n), min(n), max(n)) for w, n in want.items()} and max(h for _, _, h in got.values()) >= 48
+
+
+def test_candidates_by_96_functions(spark, corpus):
+    """Pairs of similarity 0.82 or more are met (all but 5e-7 of them), and estimates are close to the similarity."""
+    folder, docs = corpus
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, w, _ in docs}
+    posted, near = defaultdict(set), {}
+    for i, own in sets.items():
+        for s in own:
+            posted[s].add(i)
+    for i, own in sets.items():
+        for j in set().union(*(posted[s] for s in own)):
+            if i < j:
+                near[i, j] = len(own & sets[j]) / len(own | sets[j])
+    rows = QUERIES["minhash_estimate_96"](spark, folder).collect()
+    got = {(r.l, r.r): r.estimate for r in rows}
+    assert len(rows) == len(got) and {p for p, s in near.items() if s >= 0.82} <= got.keys()
+    off = [e - 100 * near.get(p, 0) for p, e in got.items()]
+    assert max(abs(x) for x in off) <= 25 and abs(np.mean(off)) < 5
+    assert all(got[p] == 100 for p, s in near.items() if s == 1)
