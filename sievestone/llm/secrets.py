@@ -117,7 +117,7 @@ def listed(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", table: list[int] | None = None, margin: int = MARGIN) -> DataFrame:
-    """docs with __base and __spans, each array<struct<start, kind, end>> in order. Spans of the models overlap no base span."""
+    """docs with __base and __spans, each array<struct<start, kind, end>> in order. Spans of the models may overlap base spans, but lie in none."""
     table = table or model(labelled(docs.sparkSession))
     ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -125,8 +125,8 @@ def scan(docs: DataFrame, *, text_col: str = "text", table: list[int] | None = N
     random = lambda m: score(m) > margin * (F.length(m) - 1)
     base = F.array_sort(F.concat(places(text, ASSIGN, 0, lambda m: m.rlike(ASSIGN_VALUE)), places(text, ACCESS, 1), places(text, HEX, 2)))
     rows = docs.withColumn("__base", base).withColumn("__more", places(text, TOKEN, 3, random))
-    apart = lambda s: ~F.exists(F.col("__base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return rows.withColumn("__spans", F.array_sort(F.concat(F.col("__base"), F.filter(F.col("__more"), apart)))).drop("__more")
+    beyond = lambda s: ~F.exists(F.col("__base"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    return rows.withColumn("__spans", F.array_sort(F.concat(F.col("__base"), F.filter(F.col("__more"), beyond)))).drop("__more")
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = None, mark: str = "[SECRET]", **options) -> DataFrame:

@@ -237,6 +237,15 @@ def test_redact(spark):
     assert got == {1: ("ü [SECRET] end", 14), 2: ("clean", 5), 3: (None, 0)}
 
 
+def test_redact_random_tokens_over_base_spans(spark):
+    """A token that the models call random goes as a whole where only a part of it is a base span."""
+    rest = "".join(np.random.default_rng(9).choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 40))
+    docs = spark.createDataFrame([(1, f"see xoxp-1234567890123456-{rest} end")], "doc_id long, text string")
+    row = secrets.scan(docs).select(secrets.listed(F.col("__base")).alias("base"), F.expr("exists(__spans, s -> s.kind = 3)").alias("more")).first()
+    assert row.base == "hex:9:25" and row.more
+    assert secrets.redact(docs).first().text == "see [SECRET] end"
+
+
 # 6 ---------------------------------------------------------------------------------------------------------
 
 
