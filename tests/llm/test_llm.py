@@ -298,7 +298,10 @@ def vectors(spark):
     return spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, rep int"), np.concatenate([x, 2 * x[100:101]]).astype(np.float64), [*range(300), 306]
 
 
-@pytest.mark.parametrize("options", [{"candidates": 1.0}, {"candidates": 1.0, "rows_per_block": 50, "queries_per_block": 4}])
+WHOLE = len(search.EFFORTS) - 1
+
+
+@pytest.mark.parametrize("options", [{"effort": WHOLE}, {"effort": WHOLE, "rows_per_block": 50, "rows_per_shard": 40}, {"effort": WHOLE, "rows_per_pivot": 2, "prefix": 4}])
 def test_search(spark, options):
     df, x, ids = vectors(spark)
     got = search.search(df, df.where("vec_id % 20 = 0"), k=7, **options).orderBy("query_id", "rank").collect()
@@ -347,6 +350,41 @@ def test_search_recall_among_copies(spark):
     assert least >= 0.8
 
 
+def nearest(spark, x, every, k=20, more=None):
+    """Answers of a search at the defaults, and the share of the true neighbours among them for each query."""
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    df = df.unionByName(more) if more is not None else df
+    got = defaultdict(list)
+    for r in search.search(df, df.where(F.col("vec_id") % every == 0), k=k).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    x, shares = np.asarray(x, np.float32).astype(np.float64), []
+    for q in range(0, len(x), every):
+        s = np.round((x * x[q]).sum(axis=1), 9)
+        s[q] = -np.inf
+        bar = np.sort(s)[-k]
+        assert len(got[q]) == len({i for _, i in got[q]}) == k and q not in {i for _, i in got[q]}
+        assert got[q] == sorted(got[q], key=lambda p: (-p[0], p[1])) and all(abs(a - s[i]) <= 1e-8 * (1 + abs(a)) for a, i in got[q])
+        shares.append(np.mean([s[i] >= bar for _, i in got[q]]))
+    return shares
+
+
+def test_search_recall_of_varied_lengths(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 32)) * np.exp(rng.normal(size=(4000, 1)))
+    assert np.mean(nearest(spark, x, 20)) >= 0.95
+
+
+def test_search_repeated_rows(spark):
+    """Rows that repeat an id and vector change nothing; an id that comes with two vectors is found by the better one."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 8))
+    again = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in (0, 0, 7, 7, 20)], "vec_id long, embedding array<float>")
+    assert np.mean(nearest(spark, x, 20, more=again)) >= 0.95
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.1, 0.0]), (2, [0.9, 0.0]), (3, [0.7, 0.0]), (3, [0.7, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in search.search(df, df.where("vec_id = 0"), k=3).orderBy("rank").collect()] == [(2, 0.9), (3, 0.7), (1, 0.5)]
+
+
 @pytest.mark.parametrize("options", [{}, {"shard_rows": 60, "overlap": 3}, {"shard_rows": 120, "block_rows": 40}])
 def test_near_vectors(spark, options):
     df, x, ids = vectors(spark)
