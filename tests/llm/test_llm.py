@@ -264,13 +264,60 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
-def test_html_tree_fits_its_table_and_rows(spark):
-    assert all(html.is_main(tuple(x)) == bool(y) for x, y in html.samples())
-    pages = spark.createDataFrame([(1, None, "x"), (2, "<article><p>hi", "y")], "page_id long, html string, text string")
-    assert {r.page_id: r.text for r in html.extract(pages).collect()} == {1: "", 2: "hi"}
+def test_html_tree(spark):
+    """The first splits are by words and link density, and the tree is no copy of its table."""
+    root = html.tree()
+    assert {root[0], root[2][0], root[3][0]} <= {html.FEATURES.index("words"), html.FEATURES.index("link_density")}
+    assert np.mean([html.is_main(x) == bool(y) for x, y in html.samples()]) >= 0.98
+    pages = spark.createDataFrame([(1, None, "x"), (2, "<article><p>hi", "y"), (2, "<article><p>hi", "y")], "page_id long, html string, text string")
+    assert sorted((r.page_id, r.text) for r in html.extract(pages).collect()) == [(1, ""), (2, "hi"), (2, "hi")]
     assert html.extract(pages.limit(0)).count() == 0
 
 
+LONG = "plain words of an article that goes on for a good while and says what it has to say"
+# Pages as other sites build them, and what of them is main text.
+SITES = [
+    (f'<body><header class="site-header"><a href="/">Site</a> <p>{LONG}</p></header><div id="content"><h1 class="post-header">Title</h1><p>{LONG}</p><h2 id="legal">Legal</h2><p>Short one.</p><h2 id="comments">Comments in C</h2><p>{LONG}</p></div><section id="comments"><h3>2 comments</h3><p>{LONG}</p></section></body>', f"Title\n\n{LONG}\n\nLegal\n\nShort one.\n\nComments in C\n\n{LONG}"),
+    (f'<body><article><h1>T</h1><section id="related-work"><h2>Related work</h2><p>{LONG}</p></section><section class="comments"><p>{LONG}</p></section></article></body>', f"T\n\nRelated work\n\n{LONG}"),
+    (f'<body><div class="widget-post">{LONG} {LONG}</div><div class="sidebar-content"><p>{LONG} {LONG}</p></div></body>', f"{LONG} {LONG}"),
+    (f'<body><table><tr><td><a href="/a">A</a></td><td><a href="/b">B</a></td></tr></table><p>{LONG}</p><p>{LONG}</p><form><p>{LONG}</p><input></form><div class="cookieBanner"><p>{LONG}</p></div></body>', f"{LONG}\n\n{LONG}"),
+    (f'<body><main><article><p>{LONG} <a href="/x">with a link</a></p><ul><li>one</li><li><a href="/y">two</a></li></ul><aside><p>{LONG}</p></aside></article><div class="newsletter"><p>{LONG}</p></div></main><footer><p>{LONG}</p></footer></body>', f"{LONG} with a link\n\none\n\ntwo"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SITES)
+def test_html_sites(page, text):
+    assert html.main_text(page) == text
+
+
+def plain_article(page):
+    """The blocks between the tags of the one article; right for the pages of the provided tables only."""
+    import html as references
+    import re
+
+    inside = re.search(r"<article>(.*)</article>", page or "", re.S)
+    parts = re.split(r"</?(?:p|h1|ul|li|div)(?: [^>]*)?>", inside[1]) if inside else []
+    texts = [" ".join(references.unescape(re.sub(r"<br>", " ", re.sub(r"<!--.*?-->|</?[ab](?: [^>]*)?>", "", x))).split()) for x in parts]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_html_whole_table(spark):
+    got = html.op6_html(spark, "/root/testdata/sf0.01").collect()
+    want = {r.page_id: plain_article(r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_html_stray_tags_are_linear():
+    import time
+
+    took = []
+    for n in (20_000, 40_000):
+        began = time.process_time()
+        html.main_text("<i>" * n + "x" + "</b>" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * took[0] + 0.5
+
+
 # 7 ---------------------------------------------------------------------------------------------------------
 
 
