@@ -21,19 +21,43 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder: the one that the session names in spark.checkpoint.dir.
 
-    A temporary one is set only where it names none (tests, a single machine).
+    Where it names none, a temporary one is set on a single machine (master local); elsewhere executors
+    could not see it, so that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievestone-checkpoint-"))
     return context.getCheckpointDir()
 
 
+#: Folders that cut() wrote since the last call of forget(), oldest first.
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the shared checkpoint folder and cuts its lineage."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    done = df.checkpoint()
+    file = done._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _written.append(file.get())
+    return done
+
+
+def written() -> list[str]:
+    """Takes note of what cut() wrote so far."""
+    return list(_written)
+
+
+def forget(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders of tables that nothing reads any more."""
+    for name in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written[:] = [f for f in _written if f not in set(folders)]
 
 
 def n_words(text) -> "F.Column":

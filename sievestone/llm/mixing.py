@@ -6,10 +6,11 @@ second pass through the queue continues where the first ended. All queues are se
 finish times and the service stops when the budget is spent. Since the targets add up to the budget,
 that is virtual time 1: a document that straddles it is taken only as far as its source's target goes.
 
-Running totals never gather a source in one task. The order inside a source is the md5 of the id, so
-its leading hex digits cut any source, however large, into even buckets; bucket totals give each bucket
-its offset, and windows run inside buckets. The service order is cut by finish time in the same way,
-which is even because shuffled documents spread evenly over virtual time.
+Running totals never gather a source in one task. The order inside a source is the md5 of the id (of the
+text, where there is no id), so its leading hex digits cut any source, however large, into even buckets;
+bucket totals give each bucket its offset, and windows run inside buckets. The service order is cut by
+finish time in the same way, which is even because shuffled documents spread evenly over virtual time;
+what the mix leaves out has no place in it and is dealt out by hash.
 
 Null text has size 0. Null sources form one source, which stands last. Rows that repeat a document
 count one by one and are served one after another; equal rows are interchangeable. An empty table gives
@@ -60,10 +61,13 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.floor(F.conv(F.substring(key, 1, HEX_DIGITS), 16, 10).cast("long") * buckets / (1 << (4 * HEX_DIGITS))).cast("int")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: str = "mix", rows_per_bucket: int = 4096) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and served_at (words the mix serves before it) per row of docs."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sizes = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key")))
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: str = "mix", rows_per_bucket: int = 1024, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and served_at (words the mix serves before it) per row of docs.
+
+    carry: more columns of docs to return.
+    """
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))))
+    sizes = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"), *[F.col(c) for c in carry]))
     buckets = max(1, min(1 << 20, sizes.count() // rows_per_bucket))
     sizes = sizes.withColumn("bucket", bucket_of(F.col("key"), buckets))
 
@@ -72,17 +76,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     per_source = targets(per_bucket.withColumnRenamed("words", "size"), weights, share, repeats)
     offsets = per_bucket.withColumn("before", before).alias("o").join(per_source.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.source", "o.bucket", "o.before", "t.source_size", "t.target", "t.budget")
 
-    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
+    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *carry)
     queue = sizes.withColumn("nth", F.row_number().over(inside)).withColumn("words", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
     same = F.col("q.source").eqNullSafe(F.col("o.source")) & (F.col("q.bucket") == F.col("o.bucket"))
-    queue = queue.alias("q").join(offsets.alias("o"), same).select("q.doc_id", "q.source", "q.size", "q.key", "q.bucket", "q.nth", "o.source_size", "o.target", "o.budget", (F.col("o.before") + F.col("q.words")).alias("end"))
+    queue = queue.alias("q").join(offsets.alias("o"), same).select("q.doc_id", "q.source", "q.size", "q.key", "q.bucket", "q.nth", *[f"q.{c}" for c in carry], "o.source_size", "o.target", "o.budget", (F.col("o.before") + F.col("q.words")).alias("end"))
 
     passes = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("pass")
     served = queue.select("*", passes).withColumn("finish", F.col("pass") * F.col("source_size") + F.col("end"))
     room = F.greatest(F.lit(0.0), F.col("target") - (F.col("finish") - F.col("size")))
     served = served.withColumn("part", F.floor(F.least(F.col("size").cast("double"), room)).cast("long")).where((F.col("pass") == 0) | (F.col("part") > 0))
     time = F.when(F.col("target") > 0, F.col("finish") / F.col("target")).otherwise(F.lit(2.0))
-    served = served.withColumn("time", time).withColumn("slice", F.floor(F.least(F.col("time"), F.lit(1.0)) * buckets).cast("int"))
+    idle = -1 - F.pmod(F.xxhash64("key", "nth"), F.lit(buckets))  # before all others, without words
+    served = served.withColumn("time", time).withColumn("slice", F.when(F.col("part") > 0, F.floor(F.least(F.col("time"), F.lit(1.0)) * buckets)).otherwise(idle).cast("int"))
 
     per_slice = served.groupBy("slice").agg(F.sum("part").alias("words"))
     begins = F.sum("words").over(W.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("words")
@@ -92,29 +97,34 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     served = served.withColumn("at", F.col("begins") + F.col("ahead"))
     served = served.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("part"), F.floor(F.col("budget") - F.col("at")).cast("long"))))
 
-    rows = served.groupBy("source", "bucket", "nth", "key", "doc_id", "size", "source_size", "target")
-    return rows.agg(F.sum("part").alias("taken"), F.min(F.when(F.col("part") > 0, F.col("at"))).alias("served_at")).select("doc_id", "source", "size", "source_size", "target", "taken", "served_at")
+    rows = served.groupBy("source", "bucket", "nth", "key", "doc_id", "size", "source_size", "target", *carry)
+    return rows.agg(F.sum("part").alias("taken"), F.min(F.when(F.col("part") > 0, F.col("at"))).alias("served_at")).select("doc_id", "source", "size", "source_size", "target", "taken", "served_at", *carry)
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = None, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time a document is taken.
 
     The one document of each source that straddles the end is cut after its last word that is taken, at
-    a word's end and with its own white space. Rows that repeat an id are each taken as often as the
-    most taken of them. chars_col, if given, is set to the length of the text that is returned.
+    a word's end and with its own white space. Each row is taken for itself, whether or not it has an id
+    or repeats one: takes come back by two hashes of all columns, and rows equal in all of them are one
+    text with as many takes. chars_col, if given, is set to the length of the text that is returned.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.struct("taken", "size")).alias("__take"))
-    whole = F.floor(F.col("__take.taken") / F.col("__take.size")).cast("int")
-    rest = (F.col("__take.taken") % F.col("__take.size")).cast("int")
-    rows = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("__rest", rest)
-    parts = F.concat(F.array_repeat(F.lit(False), whole), F.when(F.col("__rest") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    rows = rows.withColumn("__cut", F.explode(parts))
+    own = [F.xxhash64(F.lit(salt), *[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns]).alias(f"__h{salt}") for salt in (1, 2)]
+    keyed = docs.select("*", *own)
+    taken = mix(keyed, id_col=id_col, text_col=text_col, source_col=source_col, carry=("__h1", "__h2"), **options).where("taken > 0")
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    rest = (F.col("taken") % F.col("size")).cast("int")
+    # A text is taken whole, twice or in part, so it has few different takes however often it is repeated.
+    taken = taken.groupBy("__h1", "__h2", whole.alias("__whole"), rest.alias("__rest")).agg(F.count("*").cast("int").alias("__times"))
+    texts = keyed.groupBy("__h1", "__h2").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__doc"))
+    rows = texts.join(taken, ["__h1", "__h2"]).select("__doc.*", "__rest", "__whole", "__times")
+    part = F.when(F.col("__rest") > 0, F.array_repeat(F.lit(True), F.col("__times"))).otherwise(F.array().cast("array<boolean>"))
+    rows = rows.withColumn("__cut", F.explode(F.concat(F.array_repeat(F.lit(False), F.col("__whole") * F.col("__times")), part)))
     head = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"(?:{SPACE})?{WORD}"), 0), 1, F.greatest(F.col("__rest"), F.lit(1))), "")
     rows = rows.withColumn(text_col, F.when(F.col("__cut"), head).otherwise(F.col(text_col)))
     if chars_col:
         rows = rows.withColumn(chars_col, F.when(F.col("__cut"), F.length(text_col).cast("long")).otherwise(F.col(chars_col)))
-    return rows.select(*docs.columns)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +134,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS key
   FROM documents
 ), own AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source

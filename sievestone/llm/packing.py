@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import cut, read
 
 END = 2
-#: Characters on which two tokenizer libraries could hold different Unicode tables; such texts take the slower one.
-UNUSUAL = re.compile("[^\t\n\r -~¡-ɏ‐-‧€]|<\\|")
+#: Characters on which two tokenizer libraries could hold different Unicode tables, and white space so long that
+#: the faster one's pattern runs out of stack on it; such texts take the slower one.
+UNUSUAL = re.compile("[^\t\n\r -~¡-ɏ‐-‧€]|<\\||[\t\n\r ]{1000}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CHUNK = 1 << 21
 
@@ -61,7 +62,10 @@ class Tokenizer:
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and not UNUSUAL.search(text):
-            return self.fast.encode_to_numpy(text)
+            try:
+                return self.fast.encode_to_numpy(text)
+            except ValueError:  # its pattern gave up; nothing was encoded
+                pass
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 

@@ -94,6 +94,29 @@ def model(samples: DataFrame) -> list[int]:
     return [round(1000 * math.log2(chance(True, a, b) / chance(False, a, b))) for a in range(n) for b in range(n)]
 
 
+def running(items: Column, zero: Column, step, emit, chunk: int = 256) -> Column:
+    """emit(state, item) for each item of an array, the state being that of the items before it.
+
+    The states at the starts of chunks come first and each chunk is walked by itself, so that growing an
+    array item by item copies a chunk at most.
+    """
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / chunk).cast("int")), lambda j: F.slice(items, j * chunk + 1, F.lit(chunk)))
+    first = lambda kind: F.filter(F.array(kind), lambda _: F.lit(False))
+    starts = F.aggregate(
+        cut,
+        F.struct(zero.alias("state"), first(zero).alias("got")),
+        lambda a, own: F.struct(F.aggregate(own, a["state"], step).alias("state"), F.concat(a["got"], F.array(a["state"])).alias("got")),
+        lambda a: a["got"],
+    )
+    walked = lambda own, start: F.aggregate(
+        own,
+        F.struct(start.alias("state"), first(emit(zero, F.element_at(items, 1))).alias("got")),
+        lambda a, x: F.struct(step(a["state"], x).alias("state"), F.concat(a["got"], F.array(emit(a["state"], x))).alias("got")),
+        lambda a: a["got"],
+    )
+    return F.flatten(F.zip_with(cut, starts, walked))
+
+
 def places(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """array<struct<start, kind, end>> of the pattern's matches; keep: what a match must satisfy."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
@@ -101,13 +124,12 @@ def places(text: Column, pattern: str, kind: int, keep=None) -> Column:
     pairs = F.arrays_zip(F.transform(found, lambda m: F.struct(F.length(m).alias("n"), (keep(m) if keep else F.lit(True)).alias("ok"))).alias("m"), F.slice(between, 1, F.greatest(F.size(found), F.lit(1))).alias("g"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
-    def step(state, pair):
-        start = state["at"] + pair["g"]
-        end = start + pair["m"]["n"]
-        new = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(pair["m"]["ok"], F.concat(state["got"], new)).otherwise(state["got"]).alias("got"))
+    def span(at, pair):
+        start = at + pair["g"]
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + pair["m"]["n"]).alias("end"), pair["m"]["ok"].alias("ok"))
 
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("got")), step, lambda s: s["got"])
+    spans = running(pairs, F.lit(0), lambda at, pair: at + pair["g"] + pair["m"]["n"], span)
+    spans = F.transform(F.filter(spans, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
@@ -134,13 +156,11 @@ def redact(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = N
     rows = scan(docs, text_col=text_col, **options)
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    def step(state, s):
-        apart = s["start"] >= state["end"]
-        piece = F.concat(F.substr(text, state["end"] + 1, s["start"] - state["end"]), F.lit(mark))
-        return F.struct(F.greatest(state["end"], s["end"]).alias("end"), F.when(apart, F.concat(state["got"], F.array(piece))).otherwise(state["got"]).alias("got"))
+    def piece(end, s):  # what lies between the spans so far and this one, if it lies apart
+        return F.when(s["start"] >= end, F.concat(F.substr(text, end + 1, s["start"] - end), F.lit(mark))).otherwise(F.lit(""))
 
-    none = F.array().cast("array<string>")
-    clean = F.aggregate(F.col("__spans"), F.struct(F.lit(0).alias("end"), none.alias("got")), step, lambda s: F.concat(F.array_join(s["got"], ""), F.substr(text, s["end"] + 1, F.length(text))))
+    last = F.array_max(F.transform("__spans", lambda s: s["end"]))
+    clean = F.concat(F.array_join(running(F.col("__spans"), F.lit(0), lambda end, s: F.greatest(end, s["end"]), piece), ""), F.substr(text, last + 1, F.length(text)))
     hit = F.size("__spans") > 0
     rows = rows.withColumn("__text", F.when(hit, clean).otherwise(F.col(text_col)))
     rows = rows.withColumn(text_col, F.col("__text"))

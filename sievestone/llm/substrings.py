@@ -12,8 +12,9 @@ does. The work goes in steps:
 3. Minimisers found in one document alone are dropped. The other super-k-mers travel, as one packed
    string each, to the bucket of their minimiser, where prefix doubling over sorted pairs gives equal
    windows equal numbers, exactly, and the smallest document of each.
-4. A minimiser with more than `hot` super-k-mers would crowd one bucket. Its windows travel one by one,
-   as SHA-256 of their words, and are counted by a grouped minimum with map-side combining.
+4. A minimiser whose super-k-mers hold more than `hot` words in all would crowd one bucket. Its windows
+   travel one by one, as SHA-256 of their words, and are counted by a grouped minimum with map-side
+   combining.
 5. Marked stretches go back to their documents, whose words outside them are kept.
 
 Null and empty texts have no words. Null ids count as larger than any id, and not as smaller than one
@@ -208,7 +209,7 @@ def kept_words(docs: DataFrame) -> DataFrame:
     return docs.select("id", "tag", "text", "gone").mapInArrow(drop, "id long, tag long, n_removed long, kept_sha256 string")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, m: int = 8, hot: int = 8192) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, m: int = 8, hot: int = 1 << 19) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 per row of docs."""
     m = min(m, window)
     rows = docs.select(id_or_last(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
@@ -220,8 +221,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     after = F.coalesce(F.try_element_at("firsts", F.col("k") + 2), (F.col("n_words") - window + 1).cast("int"))
     at = F.element_at("firsts", F.col("k") + 1)
     kmers = kmers.select("id", "tag", "mini", at.alias("first"), (after - at).alias("n"))
-    shared = kmers.groupBy("mini").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("found")).where("low < high")
-    spans = kmers.join(shared.select("mini", (F.col("found") > hot).alias("hot")), "mini")
+    shared = kmers.groupBy("mini").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.col("n") + F.lit(window - 1).cast("long")).alias("words")).where("low < high")
+    spans = kmers.join(shared.select("mini", (F.col("words") > hot).alias("hot")), "mini")
     spans = spans.groupBy("id", "tag").agg(F.collect_set(F.struct("mini", "first", "n", "hot")).alias("found"))
     # Only documents that share a minimiser are kept from here on; their texts moved once.
     suspects = cut(rows.join(spans.hint("shuffle_hash"), "id"))
