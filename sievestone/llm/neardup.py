@@ -14,13 +14,15 @@ What is asked for are components, so no group is expanded into its pairs:
 2. Every class is compared with the smallest id it shares a key with, on full sets, and verified links
    are joined into components. That settles all pairs inside them: they count as linked already.
 3. Keys that still hold several components are searched for pairs of signatures within the distance
-   across components. This gives pairs of components, and their members are compared on full sets until
-   a link is found, in blocks of bounded size; each comparison returns at most one link per document.
+   across components, in blocks of bounded size. A component that fills a block by itself never meets its
+   own other blocks, so a large settled group costs its rows, not their square. This gives pairs of
+   components, and their members are compared on full sets until a link is found; each comparison returns
+   at most one link per document.
 4. The links of both steps are joined.
 
 Null and empty texts have no set and link with nothing. Rows that repeat an id are one document: they
-share a component. Rows with a null id are told apart by their words; their component may be named by
-null. Ties go to the smallest id. An empty table gives an empty result. Columns beside id and text are
+share a component. Rows with a null id are told apart by their words and take part like others; their
+component is named by null where it holds no row with an id. Ties go to the smallest id. An empty table gives an empty result. Columns beside id and text are
 not read; texts are read whole.
 """
 
@@ -30,8 +32,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, read
@@ -59,6 +63,23 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(mixed(run))
 
 
+def nameless(words: list[bytes]) -> int:
+    """Stands for the id of a row that has none."""
+    return NAMELESS + int.from_bytes(hashlib.sha256(b" ".join(words)).digest()[:7], "little")
+
+
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with __id: the id, or what stands for it."""
+
+    @F.pandas_udf("long")
+    def name(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([nameless(words_of(t)) for t in batch], dtype="int64")
+
+    known = docs.where(F.col(id_col).isNotNull()).withColumn("__id", F.col(id_col).cast("long"))
+    return known.unionByName(docs.where(F.col(id_col).isNull()).withColumn("__id", name(F.col(text_col))))
+
+
 def multipliers(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(20240101)
     return draw.integers(0, 1 << 63, hashes, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, hashes, np.uint64)
@@ -111,7 +132,7 @@ def scan(docs: DataFrame, width: int, hashes: int) -> DataFrame:
                 digest = hashlib.sha256(b" ".join(words)).digest()
                 own = shingles(words, width)
                 name = name.as_py()
-                ids.append(NAMELESS + int.from_bytes(digest[:7], "little") if name is None else name)
+                ids.append(nameless(words) if name is None else name)
                 sha.append(digest)
                 n.append(len(own))
                 signed.append(signature(own, factors).tobytes() if len(own) else None)
@@ -137,7 +158,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = [shingles(words_of(t.as_py()), width).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "set"])
 
-    return docs.join(wanted.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id").select("id", "text").mapInArrow(gather, "rep long, set array<long>")
+    rows = named(docs, "id", "text").select(F.col("__id").alias("id"), "text")
+    return rows.join(wanted.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id").select("id", "text").mapInArrow(gather, "rep long, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,12 +175,24 @@ def across(members: DataFrame, distance: int, percent: int, block_rows: int, chu
 
     A pair of documents speaks under the first key that it shares only.
 
-    A key's members are cut into blocks of bounded size, and every pair of blocks is one group.
+    A key's members are cut into blocks of bounded size, and every pair of blocks is one group: large
+    components have blocks of their own (home: their label), small ones share some.
     """
-    per_key = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low < high")
-    open_ = members.join(per_key.select("key", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")), "key")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    open_ = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("rows"))
+    large = F.col("rows") >= block_rows
+    per_key = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.sum(F.when(~large, F.col("rows"))).alias("small_rows"), F.collect_list(F.when(large, F.struct("label", "rows"))).alias("large")).where("labels > 1")
+    blocks_of = lambda rows: F.ceil(rows / block_rows).cast("int")
+    shared = F.coalesce(blocks_of(F.col("small_rows")), F.lit(0))
+    none = F.array().cast("array<struct<home:bigint,k:int>>")
+    pool = F.when(shared > 0, F.transform(F.sequence(F.lit(1), F.greatest(shared, F.lit(1))), lambda k: F.struct(F.lit(None).cast("long").alias("home"), (k - 1).alias("k")))).otherwise(none)
+    own_blocks = lambda x: F.transform(F.sequence(F.lit(1), blocks_of(x["rows"])), lambda k: F.struct(x["label"].alias("home"), (k - 1).alias("k")))
+    blocks = F.concat(pool, F.flatten(F.transform("large", own_blocks)))
+    open_ = members.join(per_key.select("key", "large", shared.alias("shared"), blocks.alias("blocks")), "key").withColumn("rows", F.try_element_at(F.map_from_entries("large"), F.col("label")))
+    home = F.when(F.col("rows").isNotNull(), F.col("label"))
+    k = F.pmod(F.xxhash64("rep"), F.when(home.isNotNull(), blocks_of(F.col("rows"))).otherwise(F.col("shared"))).cast("int")
+    open_ = open_.withColumn("home", home).withColumn("own", F.xxhash64(F.coalesce("home", F.lit(-1)), k))
+    met = F.filter("blocks", lambda b: b["home"].isNull() | F.col("home").isNull() | (b["home"] != F.col("home")))
+    open_ = open_.withColumn("other", F.explode(met)).withColumn("other", F.xxhash64(F.coalesce("other.home", F.lit(-1)), F.col("other.k")))
     open_ = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "n", "signature")
 
     def compare(rows: pa.Table, slot: int, out: set[tuple[int, int]]) -> None:
@@ -166,12 +200,16 @@ def across(members: DataFrame, distance: int, percent: int, block_rows: int, chu
         signed = signatures_in(rows["signature"].combine_chunks())
         width = signed.shape[1]
         starts = np.array([c[0] for c in np.array_split(np.arange(width), chunks)])
+        # Equal signatures of one component and size speak once.
+        once = np.sort(np.unique(np.concatenate([labels[:, None], sizes[:, None], block[:, None], signed.view(np.int64)], axis=1), axis=0, return_index=True)[1])
+        labels, sizes, block, signed = labels[once], sizes[once], block[once], signed[once]
         two_sides = rows["i"][0].as_py() != rows["j"][0].as_py()
-        for k in range(len(labels)):
-            if two_sides and block[k] != rows["i"][0].as_py():
-                continue
-            rest = np.flatnonzero(block != block[k]) if two_sides else np.arange(k + 1, len(labels))
-            rest = rest[(labels[rest] != labels[k]) & (np.minimum(sizes[rest], sizes[k]) * 100 >= percent * np.maximum(sizes[rest], sizes[k]))]
+        # All but the largest component's members ask, so those never ask each other.
+        names, counts = np.unique(labels, return_counts=True)
+        asks = labels != names[counts.argmax()]
+        for k in np.flatnonzero(asks):
+            rest = (labels != labels[k]) & ~(asks & (np.arange(len(labels)) < k)) & (np.minimum(sizes, sizes[k]) * 100 >= percent * np.maximum(sizes, sizes[k]))
+            rest = np.flatnonzero(rest & (block != block[k]) if two_sides else rest)
             if len(rest):
                 differ = signed[rest] != signed[k]
                 close = np.flatnonzero(differ.sum(axis=1) <= distance)
@@ -249,8 +287,11 @@ def linked(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, b
     return held.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(compare, "a long, b long")
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, hashes: int = 48, distance: int = 21, block_rows: int = 4096) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept per row of docs. Rows of one component are near-duplicates by links."""
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, hashes: int = 48, distance: int = 21, block_rows: int = 4096, row_id: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept per row of docs. Rows of one component are near-duplicates by links.
+
+    row_id names a column for the id, or for what stands for it where there is none.
+    """
     chunks = (distance + 2) // 2
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(scan(rows, shingle, hashes))
@@ -283,7 +324,15 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         result = result.withColumn("component", F.coalesce("component", "id")).join(hung, "component", "left").withColumn("component", F.coalesce("whole", "component"))
     component = F.coalesce("component", "id")
     name = lambda c: F.when(c < NAMELESS, c)
-    return result.select(name(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), name(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    return result.select(name(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), name(component).alias("component_id"), (F.col("id") == component).alias("kept"), *([F.col("id").alias(row_id)] if row_id else []))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay: of each group the document with the smallest id, and of rows that repeat an id the first text in order."""
+    stay = groups(docs, id_col=id_col, text_col=text_col, row_id="__stays", **options).where("kept").select("__stays").distinct()
+    rows = named(docs, id_col, text_col).join(stay, F.col("__id") == F.col("__stays"), "left_semi")
+    first = F.row_number().over(W.partitionBy("__id").orderBy(F.col(text_col).asc_nulls_last()))
+    return rows.withColumn("__nth", first).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
