@@ -13,7 +13,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievestone.llm import common, language, mixing, neardup, packing, secrets
@@ -23,20 +22,16 @@ Docs = DataFrame
 
 def identified(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
     """Documents whose language is known; those too far from every centroid, and those without a letter, go."""
-    return language.identify(docs).where(~F.col("rejected")).select(*docs.columns)
+    return language.identify(docs, prefix="__").where(~F.col("__rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def deduplicated(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
     """The document with the smallest id of each group of near-duplicates: five words, similarity 0.8.
 
     Rows that repeat an id are one document, of which the first text in order stays. Rows without an id
-    stay, as nothing tells which of a group they are.
+    are told apart by their words and come after all others.
     """
-    stay = neardup.groups(docs, shingle=5, percent=80, distance=21).where("kept").select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(stay, F.col("doc_id") == F.col("__id"), "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    named = named.withColumn("__nth", first).where("__nth = 1").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    return neardup.keep_one(docs, shingle=5, percent=80, distance=21)
 
 
 def redacted(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
@@ -59,12 +54,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
+    """All stages over documents; each but the last is written to the shared folder and read again.
+
+    Once a stage is written, what it checkpointed and the table that it read are deleted. The table that
+    the last stage reads stays until the session's checkpoint folder goes.
+    """
     docs = common.read(spark, sf_dir, "documents")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    source: list[str] = []
     for k, (name, stage) in enumerate(STAGES):
+        before = set(common.written())
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.parquet(f"{folder}/{name}")
+            common.forget(spark, [*source, *(f for f in common.written() if f not in before)])
+            source = [f"{folder}/{name}"]
     return docs
