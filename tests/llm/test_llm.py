@@ -432,7 +432,7 @@ def test_search_repeated_rows(spark):
     assert [(r.vec_id, r.score) for r in search.search(df, df.where("vec_id = 0"), k=3).orderBy("rank").collect()] == [(2, 0.9), (3, 0.7), (1, 0.5)]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_rows": 60, "overlap": 3}, {"shard_rows": 120, "block_rows": 40}])
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 60, "overlap": 3}, {"shard_rows": 120, "block_rows": 40}, {"shard_rows": 60, "most_shards": 3, "overlap": 3}])
 def test_near_vectors(spark, options):
     df, x, ids = vectors(spark)
     got = {r.vec_id: r for r in neighbours.near_vectors(df, **options).collect()}
