@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 GENERATED_MARKERS = ("@generated", "code generated", "do not edit", "generated by")
 SECRET_MARKERS = ("api_key", "apikey", "password", "secret", "token", "private_key")
 COMPLEXITY_WORDS = r"\b(if|elif|else if|for|while|match|case|except|catch)\b"
-CONTROL_TOKENS = ("if", "else", "for", "while", "match", "switch", "case", "return", "break", "continue", "try", "catch")
+CONTROL_TOKENS = ("if", "else", "for", "while", "match", "case", "catch", "except", "try", "return", "await", "?")
 MINIFIED_LINE, SCRIPT_LINE, SUMMARY_CHARS, LONG_WORD_BYTES, SAMPLE_BYTES = 8000, 2000, 512, 80, 65536
 
 
@@ -37,8 +37,11 @@ def filled_lines(s: Column) -> Column:
 
 
 def strip_comments(s: Column) -> Column:
-    """Comments of three syntaxes out, string literals kept; one alternation decides which begins first."""
-    pattern = r"""("{3}(?s:.*?)"{3}|'{3}(?s:.*?)'{3}|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)|//[^\n]*|#[^\n]*|/\*(?s:.*?)\*/"""
+    """Comments of three syntaxes out, string literals kept; one alternation decides which begins first.
+
+    Literals are matched without a way back, so their length costs no stack.
+    """
+    pattern = r"""("{3}(?s:.*?)"{3}|'{3}(?s:.*?)'{3}|"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`)|//[^\n]*|#[^\n]*|/\*(?s:.*?)\*/"""
     return F.regexp_replace(s, pattern, "$1 ")
 
 

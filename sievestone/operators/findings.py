@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .groups import checkpointed
+
 # Ranks and weights of the scales.
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 SEVERITY_PENALTY = {"info": 0, "low": 1, "medium": 3, "high": 8, "critical": 15}
@@ -24,9 +26,20 @@ def worth(value: Column, table: dict[str, int]) -> Column:
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    """Findings with their place in the report: severity from the top, then path, start, rule, id."""
-    order = W.orderBy(rank(F.col("severity"), SEVERITIES).desc(), "path", "start", "rule", "id")
-    return findings.withColumn("place", F.row_number().over(order))
+    """Findings with their place in the report: severity from the top, then path, start, rule, id.
+
+    The order cuts them into ranges, which are sorted each in a task of its own; a row's place is its
+    place there behind the rows of the ranges before. Rows equal in all five come in any order.
+    """
+    order = [rank(F.col("severity"), SEVERITIES).desc(), F.asc("path"), F.asc("start"), F.asc("rule"), F.asc("id")]
+    ranges = checkpointed(findings.repartitionByRange(*order).sortWithinPartitions(*order))
+    # Read back from where they were written, ranges and the order inside them are fixed.
+    place = F.monotonically_increasing_id()
+    numbered = ranges.withColumn("__range", F.shiftright(place, 33)).withColumn("__nth", place.bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = numbered.groupBy("__range").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    before = F.broadcast(sizes.select("__range", ahead.alias("__ahead")))  # a row for each task
+    return numbered.join(before, "__range").withColumn("place", F.col("__ahead") + F.col("__nth") + 1).drop("__range", "__nth", "__ahead")
 
 
 def allowed(findings: DataFrame, *, min_severity: str | None = None, min_confidence: str | None = None, frameworks: tuple[str, ...] = ()) -> DataFrame:
@@ -96,36 +109,46 @@ def baseline_status(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return both.select(F.coalesce("c.fingerprint", "b.fingerprint").alias("fingerprint"), F.coalesce("c.nth", "b.nth").alias("nth"), status.alias("status"))
 
 
-def baseline_matched(current: DataFrame, baseline: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def baseline_matched(current: DataFrame, baseline: DataFrame, keys: tuple[str, ...], *, compared: tuple[str, ...] = ("path", "message")) -> DataFrame:
     """(id, baseline_id, matched_by, status) of current findings, and of baseline entries that none of them meets (fixed; id is null).
 
-    Both sides hold id, path, message and the keys, which are tried one after the other: what is open on
+    Both sides hold id, the keys, and what is compared to tell changed entries. The keys are tried one after the other: what is open on
     both sides meets by the nth of equal keys in the order of ids, so no pairs are made, and each entry
     meets at most one finding. Null keys meet nothing. A key's round is two windows over one table of
     both sides; rows that are settled, or have no key, are spread by their ids.
     """
-    side = lambda df, name: df.select(F.lit(name).alias("side"), "id", "path", "message", *keys)
+    held = [c for c in compared if c not in keys]
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "id", *held, *keys)
     both = side(current, "c").unionByName(side(baseline, "b")).withColumn("by", F.lit(None).cast("string"))
-    both = both.withColumn("other", F.lit(None).cast(f"struct<id:{dict(current.dtypes)['id']},path:string,message:string>"))
+    types = dict(current.dtypes)
+    both = both.withColumn("other", F.lit(None).cast(f"struct<{','.join(f'{c}:{types[c]}' for c in ('id', *compared))}>"))
     for key in keys:
         bucket = F.when(F.col("by").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string"))).otherwise(F.concat_ws("-", "side", F.col("id").cast("string")))
         both = both.withColumn("bucket", bucket)
         both = both.withColumn("nth", F.row_number().over(W.partitionBy("bucket", "side").orderBy("id")))
         pair = W.partitionBy("bucket", "nth")
-        row = F.struct("id", "path", "message")
+        row = F.struct("id", *compared)
         meets = (F.count("*").over(pair) == 2) & F.startswith("bucket", F.lit("k"))
         found = F.when(F.col("side") == "c", F.max(F.when(F.col("side") == "b", row)).over(pair))
         both = both.withColumn("meets", meets).withColumn("found", found)
         both = both.withColumn("other", F.when(F.col("meets"), F.col("found")).otherwise(F.col("other"))).withColumn("by", F.when(F.col("meets"), F.lit(key)).otherwise(F.col("by"))).drop("meets", "found", "nth", "bucket")
     is_current = F.col("side") == "c"
-    same = F.col("path").eqNullSafe(F.col("other.path")) & F.col("message").eqNullSafe(F.col("other.message"))
+    same = F.lit(True)
+    for c in compared:
+        same = same & F.col(c).eqNullSafe(F.col(f"other.{c}"))
     status = F.when(~is_current, "fixed").when(F.col("by").isNull(), "new").when(same, "existing").otherwise("changed")
     kept = both.where(is_current | F.col("by").isNull())
     return kept.select(F.when(is_current, F.col("id")).alias("id"), F.when(is_current, F.col("other.id")).otherwise(F.col("id")).alias("baseline_id"), F.col("by").alias("matched_by"), status.alias("status"))
 
 
+def blocks(findings: DataFrame) -> Column:
+    """Whether a finding stops a run by itself: severe, and nearly sure."""
+    return F.col("severity").isin("high", "critical") & F.col("confidence").isin("high", "certain")
+
+
 def gate(findings: DataFrame, threshold: str) -> DataFrame:
     """One row: whether the run fails at `high`, `new-high` or `new-medium`, over findings that aren't suppressed."""
+    threshold = threshold.replace("_", "-")
     level = rank(F.col("severity"), SEVERITIES) >= (3 if threshold.endswith("medium") else 4)
     new = (F.col("status") == "new") if threshold.startswith("new") else F.lit(True)
     return findings.where(F.col("suppressed_by").isNull()).agg(F.coalesce(F.bool_or(level & new), F.lit(False)).alias("fails"))

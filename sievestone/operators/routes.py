@@ -5,6 +5,8 @@ Every rule gives (rule, path, line, name, detail). Groups give their first place
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +41,32 @@ def blocking(found: DataFrame, patterns: tuple[str, ...] = BLOCKING, allowed: tu
     return found.where("is_async").select(F.lit("fastapi.blocking_call_in_async_route").alias("rule"), "path", "line", "name", F.explode(F.filter(held, lambda p: p.isNotNull())).alias("detail"))
 
 
+def overlapping(templates: DataFrame, name: str, key: str, free: Callable[[Column], Column]) -> DataFrame:
+    """(key, l, r): pairs of one key whose parts agree wherever neither is free, l being the smaller name.
+
+    A template's mask tells which parts are free. There are few masks, and for two of them the parts that
+    count are those free in neither; with the others blanked out, templates meet by equality.
+    """
+    rows = templates.select(key, name, "parts", F.array_join(F.transform("parts", lambda p: F.when(free(p), "1").otherwise("0")), "").alias("mask"))
+    masks = rows.select(key, "mask").distinct()
+    pairs = masks.join(masks.withColumnRenamed("mask", "other"), key).where(F.length("mask") == F.length("other"))
+    open_ = lambda i: (F.substr("mask", i + 1, F.lit(1)) == "1") | (F.substr("other", i + 1, F.lit(1)) == "1")
+    fixed = F.array_join(F.transform("parts", lambda p, i: F.when(open_(i), F.lit("")).otherwise(p)), "/")
+    asked = rows.join(pairs, [key, "mask"]).select(key, name, "mask", "other", fixed.alias("fixed"))
+    l, r = asked.alias("l"), asked.alias("r")
+    c = F.col
+    met = (c(f"l.{key}") == c(f"r.{key}")) & (c("l.mask") == c("r.other")) & (c("l.other") == c("r.mask")) & (c("l.fixed") == c("r.fixed")) & (c(f"l.{name}") < c(f"r.{name}"))
+    return l.join(r, met).select(c(f"l.{key}").alias(key), c(f"l.{name}").alias("l"), c(f"r.{name}").alias("r"))
+
+
 def conflicts(found: DataFrame) -> DataFrame:
     """Pairs of unequal templates of one method that some path fits both, between the first handlers of each."""
     parts = F.filter(F.split("template", "/"), lambda s: s != "")
     first = F.min(F.struct("path", "line", "name")).alias("at")
-    templates = found.groupBy("method", "template").agg(first).select("*", parts.alias("parts"), F.size(parts).alias("n_parts"))
-    left, right, c = templates.alias("l"), templates.alias("r"), F.col
-    free = lambda s: s.rlike(r"^(\{.*\}|<.*>)$")
-    fits = F.forall(F.arrays_zip(c("l.parts").alias("a"), c("r.parts").alias("b")), lambda p: (p["a"] == p["b"]) | free(p["a"]) | free(p["b"]))
-    pairs = left.join(right, (c("l.method") == c("r.method")) & (c("l.n_parts") == c("r.n_parts")) & (c("l.template") < c("r.template"))).where(fits)
-    return pairs.select(F.lit("fastapi.route_conflict").alias("rule"), "l.at.path", "l.at.line", "l.at.name", F.concat_ws(" ", "l.method", "l.template", "r.template").alias("detail"))
+    templates = found.groupBy("method", "template").agg(first).select("*", parts.alias("parts"))
+    pairs = overlapping(templates, "template", "method", lambda s: s.rlike(r"^(\{.*\}|<.*>)$"))
+    at = templates.select("method", F.col("template").alias("l"), "at")
+    return pairs.join(at, ["method", "l"]).select(F.lit("fastapi.route_conflict").alias("rule"), "at.path", "at.line", "at.name", F.concat_ws(" ", "method", "l", "r").alias("detail"))
 
 
 def status_issue() -> Column:
@@ -59,7 +77,7 @@ def status_issue() -> Column:
     return F.when(created, "post_create_route_without_201_status").when(deleted, "delete_route_without_explicit_status").when(filled, "no_content_status_with_response_body")
 
 
-def fastapi(defs: DataFrame, rows: DataFrame, *, most_lines: int = 80, least_score: int = 4) -> DataFrame:
+def fastapi(defs: DataFrame, rows: DataFrame, *, most_lines: int = 80, least_score: int = 4, patterns: tuple[str, ...] = BLOCKING, allowed: tuple[str, ...] = ()) -> DataFrame:
     found, c = routes(defs), F.col
     word = lambda w: has(f" {w} ") | has(f"\n    {w} ")
     signals = [body_lines() > 20, word("if"), word("for"), word("while"), c("uses_database"), F.size(F.array_distinct("calls")) > 4, has("requests.") | has("httpx.")]
@@ -79,7 +97,7 @@ def fastapi(defs: DataFrame, rows: DataFrame, *, most_lines: int = 80, least_sco
     intent = F.lower("name").rlike("|".join(INTENT_WORDS))
     models = rows.where("kind = 'model'").where((F.size("params") >= LEAST_FIELDS) & ~intent)
     return union([
-        single, blocking(found), conflicts(found),
+        single, blocking(found, patterns, allowed), conflicts(found),
         repeats(found, "fastapi.duplicate.route", [c("route")]),
         repeats(found.where(F.size("depends") > 0), "fastapi.repeated_dependency_logic", [F.array_join("depends", "|")], LEAST_ROUTES),
         repeats(found, "fastapi.repeated_auth_logic", [auth], LEAST_ROUTES),

@@ -176,7 +176,7 @@ def rust(rows: DataFrame, *, most_lines: int = 80, most_params: int = 6, most_un
     # a nest of matches is reported once, at its outermost, with the depth of its deepest
     depths = matches.alias("o").where("depth = 1").join(matches.alias("i"), (c("o.path") == c("i.path")) & (c("i.start") >= c("o.start")) & (c("i.stop") <= c("o.stop"))).groupBy("o.path", "o.line", "o.start").agg(F.max("i.depth").alias("deepest"))
     nested = depths.where(c("deepest") > most_depth).select(F.lit("rust.deeply_nested_match").alias("rule"), "path", "line", F.lit(None).cast("string").alias("name"), c("deepest").cast("string").alias("detail"))
-    widest = rows.where("kind = 'variant'").groupBy("path", "line", "owner").agg(F.max(F.size("params")).alias("n"), F.max_by("name", F.size("params")).alias("variant")).where(c("n") > most_fields)
+    widest = rows.where("kind = 'variant'").groupBy("path", "line", "owner").agg(F.max(F.size("params")).alias("n"), F.max_by("name", F.struct(F.size("params"), -F.col("start"))).alias("variant")).where(c("n") > most_fields)
     variants = widest.select(F.lit("rust.large_enum_variant_logic").alias("rule"), "path", "line", c("owner").alias("name"), F.concat_ws(":", "variant", "n").alias("detail"))
     flat = F.trim(F.regexp_replace("body", r"\s+", " "))
     arms = repeats(rows.where("kind = 'arm'").where(F.length(flat) >= LEAST_ARM), "rust.repeated_match_arm_body", [c("path"), c("owner"), F.sha2(flat, 256)])

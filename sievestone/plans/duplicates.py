@@ -17,14 +17,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-SELECT content_hash, count(*) AS n_members, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members
-FROM (SELECT doc_id, sha256({NORM}) AS content_hash FROM documents WHERE {NORM} <> '')
-GROUP BY content_hash HAVING count(*) > 1
+WITH h AS (SELECT DISTINCT doc_id, sha256({NORM}) AS content_hash FROM documents WHERE {NORM} <> ''),
+g AS (SELECT content_hash, count(*) AS n_members, min(doc_id) AS first_doc FROM h GROUP BY content_hash HAVING count(*) > 1)
+SELECT content_hash, n_members, first_doc, doc_id FROM h JOIN g USING (content_hash)
 """)
 def exact_file_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document of a group of equal ones."""
     docs = _documents(spark, sf_dir).where(text.normalised(F.col("text")) != "")
-    found = groups.duplicate_groups(docs, text.normalised(F.col("text")), F.col("doc_id"))
-    return found.select("content_hash", "n_members", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
+    members, found = groups.duplicate_groups(docs, text.normalised(F.col("text")), F.col("doc_id"))
+    return members.join(found, "content_hash").select("content_hash", "n_members", F.col("first_member").alias("first_doc"), F.col("member").alias("doc_id"))
 
 
 @query(r"""
@@ -121,15 +122,16 @@ def shingle_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.groupBy("shingle").agg(F.count("*").alias("df")).groupBy("df").agg(F.count("*").alias("n_shingles"))
 
 
-#: A shingle is common in this many documents, or this percentage of them where that is more. The SQL has the 48 that this gives at sf0.01.
+#: A shingle is common in this many documents, or this percentage of them where that is more.
 COMMON = (20, 5)
+CUTOFF_SQL = f"greatest({COMMON[0]}, total * {COMMON[1]} // 100, 2)"
 
 
 @query(f"""
 WITH long AS ({LONG_SQL}), f AS (SELECT shingle, count(*) AS df FROM long GROUP BY shingle),
 n AS (SELECT count(DISTINCT id) AS total FROM long)
 SELECT least(8, 1 + floor(log2(total // df)))::INTEGER AS weight, count(*) AS n_shingles, min(df) AS lowest, max(df) AS highest
-FROM f, n WHERE df < 48 GROUP BY 1
+FROM f, n WHERE df < {CUTOFF_SQL} GROUP BY 1
 """)
 def rare_shingle_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _shingled(spark, sf_dir)
@@ -140,7 +142,7 @@ def rare_shingle_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAIRS_SQL = f"""
 long AS ({LONG_SQL}), n AS (SELECT count(DISTINCT id) AS total FROM long),
-f AS (SELECT shingle, count(*) AS df FROM long GROUP BY shingle HAVING count(*) < 48),
+f AS (SELECT shingle, count(*) AS df FROM long GROUP BY shingle HAVING count(*) < (SELECT {CUTOFF_SQL} FROM n)),
 rare AS (SELECT id, lang, shingle, least(8, 1 + floor(log2(total // df)))::BIGINT AS weight FROM long JOIN f USING (shingle), n),
 whole AS (SELECT id, sum(weight)::BIGINT AS w FROM rare GROUP BY id),
 shared AS (SELECT a.id AS l, b.id AS r, sum(least(a.weight, b.weight))::BIGINT AS common FROM rare a JOIN rare b ON a.shingle = b.shingle AND a.lang = b.lang AND a.id < b.id GROUP BY a.id, b.id),
@@ -188,11 +190,14 @@ def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = _signatures(spark, sf_dir).select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("band"))
+    signed = groups.checkpointed(_signatures(spark, sf_dir))
+    keyed = signed.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("band"))
     keyed = keyed.withColumn("bucket", F.array_join(F.transform(F.slice("sig", F.col("band") * 2 + 1, 2), lambda x: x.cast("string")), ":"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, same).select(F.col("a.id").alias("l"), F.col("b.id").alias("r"), F.col("a.sig").alias("sa"), F.col("b.sig").alias("sb")).distinct()
+    keyed = keyed.select("id", F.xxhash64("band", "bucket").alias("key"))
+    sized = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    met = groups.blocked_pairs(sized, F.col("n"), "id", ["key"]).select(F.col("a.id").alias("l"), F.col("b.id").alias("r")).distinct()
+    side = lambda c: signed.select(F.col("id").alias(c), F.col("sig").alias(f"s{'a' if c == 'l' else 'b'}"))
+    return met.join(side("l"), "l").join(side("r"), "r")
 
 
 @query(f"WITH {SIG_SQL} SELECT l, r FROM candidates")
@@ -258,6 +263,41 @@ def vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.connected_components(_vector_pairs(spark, sf_dir).select("l", "r"))
 
 
+#: Dimensions of the provided vectors.
+WIDTH = 64
+SIGNS_SQL = ", ".join("[" + ", ".join(f"{s}" for s in signs) + "]" for signs in similarity.simhash_signs(WIDTH))
+SIMHASH_SQL = f"""
+signs AS (SELECT [{SIGNS_SQL}] AS s),
+hashed AS (SELECT vec_id, label, list_transform(range(0, 8), lambda byte: list_sum(list_transform(range(0, 8), lambda bit: CASE WHEN list_sum(list_transform(range(1, {WIDTH + 1}), lambda i: abs(embedding[i]::DOUBLE) * s[byte * 8 + bit + 1][i])) >= 0 THEN 1 << bit ELSE 0 END))::INTEGER) AS bytes FROM embeddings, signs),
+banded AS (SELECT vec_id, label, unnest(range(0, 8))::INTEGER AS band, unnest(bytes) AS bucket FROM hashed)
+"""
+
+
+def _banded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(F.size("embedding") == WIDTH)
+    return vectors.select("vec_id", "label", "embedding", F.posexplode(similarity.simhash(F.col("embedding"), WIDTH)).alias("band", "bucket"))
+
+
+@query(f"WITH {SIMHASH_SQL} SELECT label, band, bucket, count(*) AS n FROM banded GROUP BY label, band, bucket")
+def simhash_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many vectors of a label fall into each bucket of the eight bands of their simhash."""
+    return _banded_vectors(spark, sf_dir).groupBy("label", "band", "bucket").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {SIMHASH_SQL}, {VEC_SQL}
+SELECT DISTINCT p.l, p.r, p.score FROM pairs p JOIN banded x ON x.vec_id = p.l JOIN banded y ON y.vec_id = p.r AND y.band = x.band AND y.bucket = x.bucket WHERE p.score >= 65
+""")
+def simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one label that share a bucket of their simhash and are near enough."""
+    keyed = _banded_vectors(spark, sf_dir).select("vec_id", F.xxhash64("label", "band", "bucket").alias("key"), "label")
+    sized = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    met = groups.blocked_pairs(sized, F.col("n"), "vec_id", ["key", "label"]).select(F.col("a.vec_id").alias("l"), F.col("b.vec_id").alias("r")).distinct()
+    unit = table(spark, sf_dir, "embeddings").select("vec_id", similarity.normalised_vector(F.col("embedding")).alias("e"))
+    side = lambda c: unit.select(F.col("vec_id").alias(c), F.col("e").alias(f"e{c}"))
+    return met.join(side("l"), "l").join(side("r"), "r").select("l", "r", similarity.cosine_percent(F.col("el"), F.col("er")).alias("score")).where("score >= 65")
+
+
 @query("""
 SELECT a.p_partkey AS l, b.p_partkey AS r,
        (CASE WHEN a.p_size = b.p_size THEN 40 ELSE 0 END + CASE WHEN a.p_type = b.p_type THEN 30 ELSE 0 END

@@ -30,7 +30,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), kind(0).alias("severity"), kind(1).alias("confidence"), F.concat(F.lit("rule."), "event_type").alias("rule"), path.alias("path"), (F.col("event_id") % 97).alias("start"), framework.alias("framework"), F.concat("event_type", F.lit(" of "), F.col("user_id") % 5).alias("message"))
 
 
-@query(f"WITH {BASE} SELECT id, severity, path, start, row_number() OVER (ORDER BY {RANK} DESC, path, start, rule, id)::INTEGER AS place FROM f")
+@query(f"WITH {BASE} SELECT id, severity, path, start, row_number() OVER (ORDER BY {RANK} DESC, path, start, rule, id) AS place FROM f")
 def findings_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ordered(_findings(spark, sf_dir)).select("id", "severity", "path", "start", "place")
 

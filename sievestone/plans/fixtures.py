@@ -12,7 +12,7 @@ from ..operators import autofix, registry, routes, rules, suppressions
 from ..sources import braces, config, diagnostics, reports, symbols
 from . import code
 from .catalog import query
-from .findings import _findings
+from .findings import BASE, RANK, _findings
 
 FILES = [
     ("app/users.py", '''
@@ -103,7 +103,7 @@ def external_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def python_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.extract(files(spark)).drop("body", "canonical")
+    return symbols.extract(files(spark)).drop("body", "inner", "canonical")
 
 
 @query()
@@ -171,17 +171,29 @@ def applied_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return autofix.applied(docs, edits)
 
 
-@query()
+JSON_PARTS = "'id', id, 'ruleId', rule, 'severity', severity, 'confidence', confidence, 'message', message, 'location', json_object('path', path, 'startLine', start)"
+PLACE = f"row_number() OVER (ORDER BY {RANK} DESC, path, start, rule, id) AS place"
+
+
+@query(f"WITH {BASE} SELECT {PLACE}, (CASE WHEN framework IS NULL THEN json_object({JSON_PARTS}) ELSE json_object({JSON_PARTS}, 'framework', framework) END)::VARCHAR AS value FROM f")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.json_rows(_findings(spark, sf_dir))
 
 
-@query()
+@query(f"""
+WITH {BASE} SELECT {PLACE}, json_object('ruleId', rule, 'level', CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END, 'message', json_object('text', message),
+  'locations', json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', path), 'region', json_object('startLine', start)))), 'partialFingerprints', json_object('stableKey', id::VARCHAR))::VARCHAR AS value FROM f
+""")
 def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sarif_rows(_findings(spark, sf_dir))
 
 
-@query()
+@query(r"""
+WITH p(path) AS (VALUES ('package.json'), ('web/tsconfig.app.json'), ('ESLint.config.mjs'), ('a/Cargo.toml'), ('src/main.rs'), ('uv.lock'), (NULL)),
+n AS (SELECT path, lower(regexp_extract(path, '([^/]*)$', 1)) AS name FROM p)
+SELECT path, CASE WHEN name = 'package.json' THEN 'package_json' WHEN name = 'uv.lock' THEN 'uv_lock' WHEN name = 'cargo.toml' THEN 'cargo' WHEN regexp_matches(name, '^tsconfig(\..*)?\.json$') THEN 'tsconfig'
+  WHEN regexp_matches(name, '^eslint\.config\.(js|cjs|mjs|ts|cts|mts)$') THEN 'eslint' END AS kind FROM n
+""")
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = ["package.json", "web/tsconfig.app.json", "ESLint.config.mjs", "a/Cargo.toml", "src/main.rs", "uv.lock", None]
     return spark.createDataFrame([(p,) for p in paths], "path string").select("path", config.kind(F.col("path")).alias("kind"))

@@ -74,7 +74,12 @@ def jsx_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.element_count(h).cast("long").alias("elements"), F.size(text.tags(h)).cast("long").alias("tags"), names.cast("long").alias("names"), F.regexp_count(h, F.lit(r"\bhref=")).cast("long").alias("links"), F.sha2(text.tag_shape(h), 256).alias("shape"))
 
 
-@query()
+@query(r"""
+WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(/?[A-Za-z][A-Za-z0-9.]*)', 1)) AS tag, generate_subscripts(regexp_extract_all(html, '<(/?[A-Za-z][A-Za-z0-9.]*)', 1), 1) AS i FROM pages),
+s AS (SELECT page_id, i, sum(CASE WHEN tag LIKE '/%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM t),
+m AS (SELECT page_id, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS now FROM s)
+SELECT p.page_id, CASE WHEN any_value(p.html) IS NOT NULL THEN coalesce(max(m.now), 0)::INTEGER END AS depth FROM pages p LEFT JOIN m ON m.page_id = p.page_id GROUP BY p.page_id
+""")
 def tag_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.tag_depth(F.col("html")).alias("depth"))
 
@@ -128,6 +133,6 @@ def top_duplicated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.orderBy(F.desc("surplus"), F.desc("n_docs"), "source").limit(5)
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '.', 'g'), '^\.+|\.+$', '', 'g') AS code FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '.', 'g'), '^\.+|\.+$', '', 'g') AS code FROM documents")
 def rule_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.rule_code(F.substring("text", 1, 60)).alias("code"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.rule_code(F.col("text")).alias("code"))

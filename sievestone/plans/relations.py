@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.routes import overlapping
 from .catalog import query, table
 
+#: Words from which on a passage has five whole ones inside, and characters that are the key of a shorter one.
+LONG, GRAM = 7, 8
+
 TEMPLATE = r"""'/' || array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1), '\.html$', ''), '/'), lambda p: p <> ''),
   lambda p: CASE WHEN regexp_matches(p, '^[0-9]+$') THEN '{id}' ELSE p END), '/')"""
 
@@ -25,14 +30,12 @@ SELECT array_to_string(x, '/') AS l, array_to_string(y, '/') AS r FROM c
 WHERE len(list_filter(range(1, len(x) + 1), lambda i: x[i] = y[i] OR x[i] = '{id}' OR y[i] = '{id}')) = len(x)
 """)
 def route_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates that some path fits both of. Equal literals in the places where both are literal, by key of first segment."""
+    """Templates that some path fits both of."""
     raw = F.filter(F.split(F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/?#]*(/[^?#]*)", 1), r"\.html$", ""), "/"), lambda s: s != "")
     even = F.col("page_id") % 2 == 0
-    t = table(spark, sf_dir, "pages").select(F.transform(raw, lambda s: F.when(even & s.rlike("^[0-9]+$"), F.lit("{id}")).otherwise(s)).alias("seg")).distinct()
-    a, b = t.alias("a"), t.alias("b")
-    fits = F.forall(F.zip_with("a.seg", "b.seg", lambda x, y: (x == y) | (x == "{id}") | (y == "{id}")), lambda e: e)
-    name = lambda side: F.array_join(f"{side}.seg", "/")
-    return a.join(b, (F.size("a.seg") == F.size("b.seg")) & (name("a") < name("b")) & fits).select(name("a").alias("l"), name("b").alias("r"))
+    t = table(spark, sf_dir, "pages").select(F.transform(raw, lambda s: F.when(even & s.rlike("^[0-9]+$"), F.lit("{id}")).otherwise(s)).alias("parts")).distinct()
+    t = t.select(F.size("parts").alias("n"), "parts", F.array_join("parts", "/").alias("template"))
+    return overlapping(t, "template", "n", lambda s: s == "{id}").select("l", "r")
 
 
 @query(r"""
@@ -55,22 +58,33 @@ def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH hits AS (SELECT doc_id, item_id, instr(d.text, b.text) AS start, len(b.text) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text))
+WITH hits AS (SELECT doc_id, item_id, instr(d.text, b.text) AS start, len(b.text) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> '')
 SELECT doc_id, item_id, start::BIGINT AS start, (start + n)::BIGINT AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY start, item_id) = 1 AS first FROM hits
 """)
 def overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages found whole inside documents: an equi-join on the passage's first five words, then the exact test."""
-    head = lambda ws, i: F.array_join(F.slice(ws, i, 5), " ")
+    """Passages found whole inside documents: an equi-join on a key that any such document holds, then the exact test.
+
+    A passage may begin and end inside a word. One of LONG words or more has five whole words inside; a
+    shorter one has its first GRAM characters, or where it is shorter still its first one. Keys are hashes.
+    Empty passages are in no document.
+    """
     split = lambda t: F.split(t, " ")
-    b = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage").withColumn("ws", split(F.col("passage"))).withColumn("key", F.array_join(F.slice("ws", 2, 5), " "))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", split(F.col("text")).alias("ws"))
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 4, F.lit(1))), lambda i: head("ws", i)))
-    hits = d.select("doc_id", F.explode(keys).alias("key")).join(b.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    b = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage").where("passage <> ''").withColumn("ws", split(F.col("passage")))
+    long, gram = F.size("ws") >= LONG, F.length("passage") >= GRAM
+    b = b.withColumn("kind", F.when(long, "words").when(gram, "gram").otherwise("first"))
+    b = b.withColumn("key", F.xxhash64("kind", F.when(long, F.array_join(F.slice("ws", 2, 5), " ")).when(gram, F.substring("passage", 1, GRAM)).otherwise(F.substring("passage", 1, 1))))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hashed = lambda kind, parts: F.array_distinct(F.transform(parts, lambda p: F.xxhash64(F.lit(kind), p)))
+    d = d.withColumn("ws", split(F.col("text")))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 4, F.lit(1))), lambda i: F.array_join(F.slice("ws", i, 5), " "))
+    keys = [hashed("words", runs)]
+    for kind, width in (("gram", GRAM), ("first", 1)):  # texts are cut so only where there are such passages
+        if not b.where(F.col("kind") == kind).isEmpty():
+            keys.append(hashed(kind, F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{width}}}))"), 1)))
+    hits = d.select("doc_id", F.explode(F.concat(*keys)).alias("key")).join(b.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
     held = hits.join(d.select("doc_id", "text"), "doc_id").join(b.select("item_id", "passage"), "item_id").where(F.contains("text", F.col("passage")))
     start = F.instr(F.col("text"), F.col("passage")).cast("long")
     placed = held.select("doc_id", "item_id", start.alias("start"), (start + F.length("passage")).alias("stop"))
-    from pyspark.sql import Window as W
-
     return placed.withColumn("first", F.row_number().over(W.partitionBy("doc_id").orderBy("start", "item_id")) == 1)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import registry
-from ..operators.findings import overridden
+from ..operators.findings import CONFIDENCES, overridden, rank
 
 FILE_NAME = "sievestone.toml"
 
@@ -35,18 +35,10 @@ detect_semantic_candidates = false
 min_tokens = 40
 min_lines = 5
 min_confidence = "medium"
-structural_normalize_literals = false
 structural_min_nodes = 5
-structural_max_opaque_percent = 25
 near_similarity_threshold = 82
-near_hash_functions = 96
-near_lsh_bands = 24
-near_lsh_rows = 4
 near_common_shingle_max_percent = 5
 near_common_shingle_min_occurrences = 20
-near_max_bucket_size = 200
-near_max_candidate_pairs = 250000
-semantic_property_reads_are_pure = false
 semantic_normalize_boolean_returns = true
 semantic_normalize_commutative_ops = true
 semantic_normalize_comparisons = true
@@ -55,7 +47,6 @@ semantic_normalize_comparisons = true
 simplify_boolean_returns = true
 prefer_expression_arrows = true
 prefer_guard_clauses = false
-autofix_safe_only = true
 
 [react]
 enabled = true
@@ -83,9 +74,7 @@ max_match_depth = 4
 include = []
 exclude = []
 max_file_size_bytes = 1048576
-follow_symlinks = false
 include_generated = false
-include_binary = false
 detect_javascript = true
 
 [ci]
@@ -108,9 +97,21 @@ ALLOWED = {
     "report.default_format": ("text", "json", "sarif", "html", "markdown", "md"), "fastapi.require_response_model": ("off", "info", "warn", "error"),
 }
 LEVELS = ("off", "info", "low", "warn", "medium", "error", "high", "critical")
-PERCENTS = ("duplication.structural_max_opaque_percent", "duplication.near_similarity_threshold", "duplication.near_common_shingle_max_percent")
-POSITIVE = ("duplication.near_similarity_threshold", "duplication.near_hash_functions", "duplication.near_lsh_bands", "duplication.near_lsh_rows", "duplication.near_max_bucket_size", "duplication.near_max_candidate_pairs", "scanner.max_file_size_bytes", "react.prop_drilling_depth")
+PERCENTS = ("duplication.near_similarity_threshold", "duplication.near_common_shingle_max_percent")
+POSITIVE = ("duplication.near_similarity_threshold", "scanner.max_file_size_bytes", "react.prop_drilling_depth")
 OPTIONS = {"min_tokens": int, "min_lines": int, "min_nodes": int, "max_lines": int, "max_params": int, "max_unwraps": int, "max_props": int, "max_depth": int, "min_confidence": str, "include_paths": list, "exclude_paths": list}
+#: The limits that a rule takes as options; every rule takes a least confidence and paths.
+LIMITS = {
+    "style.large_function": ("max_lines",), "style.high_parameter_count": ("max_params",), "rust.large_function": ("max_lines",), "rust.too_many_parameters": ("max_params",), "rust.suspicious_unwrap_policy": ("max_unwraps",), "rust.deeply_nested_match": ("max_depth",),
+    "react.large_component": ("max_lines",), "react.too_many_props": ("max_props",), "react.deeply_nested_jsx": ("max_depth",), "react.prop_drilling_candidate": ("max_depth",), "fastapi.large_route_handler": ("max_lines",),
+    "duplicate.exact.body": ("min_tokens", "min_lines"), "duplicate.structural.function": ("min_tokens", "min_lines", "min_nodes"), "duplicate.near.function": ("min_tokens", "min_lines"),
+}
+#: Keys that other tools of this kind know and that mean nothing here, with the reason.
+REFUSED = {
+    **dict.fromkeys(("near_hash_functions", "near_lsh_bands", "near_lsh_rows", "near_max_bucket_size", "near_max_candidate_pairs"), "near copies are found exactly, by prefixes, without signatures or caps"),
+    **dict.fromkeys(("structural_normalize_literals", "structural_max_opaque_percent"), "shapes keep literals and have no opaque nodes"),
+    "semantic_property_reads_are_pure": "reads of properties are never moved", "follow_symlinks": "links are never followed", "include_binary": "binary files have no text", "autofix_safe_only": "there are only safe fixes",
+}
 KINDS = {
     "package_json": "package.json", "tsconfig": "tsconfig.json", "eslint": ".eslintrc .eslintrc.json .eslintrc.js .eslintrc.cjs .eslintrc.mjs eslint.config.js eslint.config.cjs eslint.config.mjs eslint.config.ts eslint.config.cts eslint.config.mts",
     "biome": "biome.json biome.jsonc", "pyproject": "pyproject.toml", "ruff": "ruff.toml .ruff.toml", "mypy": "mypy.ini .mypy.ini", "pyright": "pyrightconfig.json", "semgrep": "semgrep.yml semgrep.yaml .semgrep.yml .semgrep.yaml", "cargo": "cargo.toml",
@@ -156,6 +157,8 @@ def parse(text: str) -> dict:
             config[section] = {code_of(name): v for name, v in values.items()}
             continue
         for key, value in values.items():
+            if key in REFUSED:
+                raise ConfigError(f"{section}.{key} has no effect here: {REFUSED[key]}")
             if key not in config[section]:
                 raise ConfigError(f"unknown key {section}.{key}")
             if type(value) is not type(config[section][key]):
@@ -192,6 +195,10 @@ def check(config: dict) -> None:
         for key, value in options.items():
             if key not in OPTIONS or type(value) is not OPTIONS[key]:
                 raise ConfigError(f"rule_options.{code}.{key} is unknown or of another type")
+            if key.startswith(("max_", "min_")) and key != "min_confidence" and key not in LIMITS.get(code, ()):
+                raise ConfigError(f"rule_options.{code}.{key} has no effect: the rule has no such limit")
+            if key == "min_confidence" and value not in ALLOWED["duplication.min_confidence"]:
+                raise ConfigError(f"rule_options.{code}.min_confidence: {value} is none of {', '.join(ALLOWED['duplication.min_confidence'])}")
 
 
 def glob_regex(pattern: str) -> str:
@@ -247,8 +254,31 @@ def governed(path: Column, patterns: list[str]) -> Column:
     return any_of(tests)
 
 
+def limit(config: dict, rule: str, option: str, usual: int) -> int:
+    """A rule's own option, or what holds otherwise."""
+    return config["rule_options"].get(rule, {}).get(option, usual)
+
+
+def in_scope(files: DataFrame, config: dict) -> DataFrame:
+    """Files (path, language, source) of the configured languages and paths; those skipped as generated only if they are asked for."""
+    ignored = scanned(F.col("path"), config["ignore"]["paths"] + config["scanner"]["exclude"])
+    included = scanned(F.col("path"), config["scanner"]["include"]) if config["scanner"]["include"] else F.lit(True)
+    wanted = F.coalesce(F.col("language"), F.lit("")).isin(*config["project"]["languages"], *(("javascript", "jsx") if config["scanner"]["detect_javascript"] else ()))
+    kept = files.where(included & ~ignored & wanted & (F.octet_length("source") <= config["scanner"]["max_file_size_bytes"]))
+    if "skipped" in files.columns:
+        kept = kept.where(F.col("skipped").isNull() | F.lit(config["scanner"]["include_generated"]) & F.col("skipped").isin("generated", "minified"))
+    return kept
+
+
 def configured(findings: DataFrame, config: dict) -> DataFrame:
-    """Findings under a configuration: rules off and paths out of scope go, levels set the severity."""
+    """Findings under a configuration: rules off, paths out of scope and what is less sure than asked for go, levels set the severity."""
+    least = {code: o["min_confidence"] for code, o in config["rule_options"].items() if o.get("min_confidence")}
+    at_least = lambda level: rank(F.col("confidence"), CONFIDENCES) >= CONFIDENCES.index(level) + 1
+    for code, level in least.items():
+        findings = findings.where((F.col("rule") != code) | at_least(level))
+    findings = findings.where(~F.startswith("rule", F.lit("duplicate.")) | F.startswith("rule", F.lit("duplicate.name.")) | F.col("rule").isin(*least, "") | at_least(config["duplication"]["min_confidence"]))
+    answer = {"off": "off", "info": "info", "error": "error"}.get(config["fastapi"]["require_response_model"])
+    levels = ({"fastapi.missing_response_model": answer} if answer else {}) | config["rules"]
     for code, options in config["rule_options"].items():
         mine = F.col("rule") == code
         if options.get("include_paths"):
@@ -257,8 +287,8 @@ def configured(findings: DataFrame, config: dict) -> DataFrame:
             findings = findings.where(~mine | ~governed(F.col("path"), options["exclude_paths"]))
     ignored = scanned(F.col("path"), config["ignore"]["paths"] + config["scanner"]["exclude"])
     included = scanned(F.col("path"), config["scanner"]["include"]) if config["scanner"]["include"] else F.lit(True)
-    off = [s for s in ("react", "fastapi", "rust") if not config[s]["enabled"]]
-    return overridden(findings.where(included & ~ignored & ~F.substring_index("rule", ".", 1).isin(*off, "")), config["rules"], [])
+    off = [s for s in ("react", "fastapi", "rust") if not config[s]["enabled"] or s != "rust" and s not in config["project"]["frameworks"]]
+    return overridden(findings.where(included & ~ignored & ~F.substring_index("rule", ".", 1).isin(*off, "")), levels, [])
 
 
 def kind(path: Column) -> Column:

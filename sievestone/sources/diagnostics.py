@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.findings import CONFIDENCES, SEVERITIES, rank
+
 COLUMNS = ("tool", "path", "line", "col", "code", "message", "severity", "confidence")
 
 
@@ -101,13 +103,17 @@ PARSERS = {"eslint": eslint, "biome": biome, "ruff": ruff, "pyright": pyright, "
 
 
 def findings_of(diagnostics: DataFrame) -> DataFrame:
-    """Distinct findings `external.<tool>.<code>` with their keys; the first of equal ones stays."""
+    """Distinct findings `external.<tool>.<code>` with their keys.
+
+    Of equal ones (rule, path, line, column, message) the one of the highest severity stays, then the most certain.
+    """
     code = F.regexp_replace(F.regexp_replace(F.lower("code"), "[^a-z0-9]+", "."), r"^\.+|\.+$", "")
     rule = F.concat_ws(".", F.lit("external"), "tool", F.when(code != "", code).otherwise(F.lit("unknown")))
     path = F.replace("path", F.lit("\\"), F.lit("/"))
     key = F.sha2(F.concat_ws("|", rule, path, F.coalesce(F.col("line").cast("string"), F.lit("")), F.coalesce(F.col("col").cast("string"), F.lit("")), "message"), 256)
     keyed = diagnostics.select(rule.alias("rule"), path.alias("path"), "line", "col", "message", "severity", "confidence", key.alias("key"))
-    return keyed.dropDuplicates(["key"]).withColumn("id", F.concat("rule", F.lit(":"), F.substring("key", 1, 12)))
+    best = F.max_by(F.struct(*keyed.columns), F.struct(rank(F.col("severity"), SEVERITIES).alias("s"), rank(F.col("confidence"), CONFIDENCES).alias("c")))
+    return keyed.groupBy("key").agg(best.alias("best")).select("best.*").withColumn("id", F.concat("rule", F.lit(":"), F.substring("key", 1, 12)))
 
 
 def merged(external: DataFrame, internal: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUTE_VERBS = ("get", "post", "put", "patch", "delete", "options", "head")
-SCHEMA = "path string, kind string, name string, qualified string, start_line int, end_line int, params array<string>, is_async boolean, decorators array<string>, route string, calls array<string>, n_nodes int, canonical string, structural_hash string, semantic_hash string, rewrites array<string>, body string, syntax_error string"
+SCHEMA = "path string, kind string, name string, qualified string, start_line int, end_line int, params array<string>, is_async boolean, decorators array<string>, route string, calls array<string>, n_nodes int, canonical string, structural_hash string, semantic_hash string, rewrites array<string>, body string, inner string, syntax_error string"
 FIELDS = [p.strip().split(" ")[0] for p in SCHEMA.split(", ")]
 
 
@@ -152,6 +152,7 @@ def definitions(path: str, source: str) -> list[dict]:
                     "params": params, "is_async": isinstance(child, ast.AsyncFunctionDef), "decorators": [ast.unparse(d) for d in child.decorator_list], "route": route,
                     "calls": [ast.unparse(c.func) for c in ast.walk(child) if isinstance(c, ast.Call)], "n_nodes": sum(1 for _ in ast.walk(canonical)) - 1, "canonical": plain,
                     "structural_hash": digest("canonical", plain), "semantic_hash": digest("semantic", meant), "rewrites": sorted(rewriting.used), "body": ast.get_source_segment(source, child),
+                    "inner": "\n".join(source.splitlines()[body[0].lineno - 1 : child.end_lineno]) if body else "",
                 })
                 walk(child, (*owners, child.name), in_class)
             else:
