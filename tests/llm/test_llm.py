@@ -80,6 +80,20 @@ def test_mixed_documents(spark):
     assert rows.where("length(text) <> n_chars").count() == 0
 
 
+def test_mixed_documents_without_ids(spark):
+    """Rows without ids, and rows that repeat an id or all columns, are each taken for themselves."""
+    rows = [(None, " ".join(words(k, 20 + 40 * k)), "en", "a") for k in range(9)] + [(3, "x y z", "en", "b"), (3, "x y z", "en", "b"), (3, "other text here now", "en", "b"), (4, None, "en", None)] + [(k, " ".join(words(k, 200)), "en", "c") for k in range(10, 16)]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 1, "k", 2) for r in rows], DOCS)
+    taken = Counter()
+    for r in mixing.mix(docs, rows_per_bucket=2).collect():
+        taken[r.source] += r.taken
+    got = Counter()
+    for r in mixing.mixed_documents(docs, chars_col="n_chars", rows_per_bucket=2).collect():
+        got[r.source] += len(r.text.encode().split())
+    assert got == {k: n for k, n in taken.items() if n}
+    assert mixing.mixed_documents(nothing(spark)).count() == 0
+
+
 # 2 ---------------------------------------------------------------------------------------------------------
 
 
@@ -114,6 +128,19 @@ def test_tokenizer_paths_agree():
         assert t.ids(x).tolist() == t.whole.encode(x, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" ", "\t", "\n", " \n"])
+def test_tokenizer_on_long_white_space(text):
+    t = packing.Tokenizer(packing.default_vocabulary())
+    for x in (text * (1_000_000 // len(text)), "a" + text * 999 + "b", "a" + text * 1001 + "b"):
+        assert t.ids(x).tolist() == t.whole.encode(x, add_special_tokens=False).ids
+
+
+def test_pack_long_white_space(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "one two"), (2, "one two")], "doc_id long, text string")
+    got = packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got}[1] == 1_000_001 and len(got) == 2
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_holds_every_capacity(rule):
     lengths = np.random.default_rng(3).integers(1, 100, 500)
@@ -183,6 +210,21 @@ def test_language_awkward(spark):
     assert unknown.where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_does_not_depend_on_the_order_of_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    twice = docs.unionByName(docs.where("doc_id < 40"))  # rows that repeat count once in the sample
+    answers = [{tuple(r) for r in language.identify(df, per_language=60).select("doc_id", "lang_pred", "score", "rejected").collect()} for df in (docs, twice.repartition(7), docs.orderBy(F.desc("text")))]
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == docs.count()
+
+
+def test_language_clashing_columns(spark):
+    docs = awkward(spark).withColumn("score", F.lit("mine")).withColumn("rejected", F.lit(7)).withColumn("held_out", F.lit(1))
+    got = language.identify(docs)
+    assert len(set(got.columns)) == len(got.columns) and got.where("rejected").count() >= 3
+    kept = language.identify(docs, prefix="__").where(~F.col("__rejected"))
+    assert kept.where("score = 'mine' AND rejected = 7 AND held_out = 1").count() == kept.count() > 0
+
+
 def test_language_rejects_what_is_far():
     texts = {"en": "the quick brown fox jumps over the lazy dog and runs away from the river ", "de": "der schnelle braune fuchs springt weit ueber den faulen hund und laeuft davon "}
     rows = [(lang, language.grams(t * 3)) for lang, t in texts.items()]
@@ -221,6 +263,16 @@ def test_secrets(spark):
     assert secrets.scan(nothing(spark)).count() == 0
 
 
+def test_secrets_many_matches(spark):
+    """More matches than a chunk holds, in one text and in rows that repeat."""
+    text = " ".join(f"{k:016x}" + ("" if k % 3 else " token: abcdefghijkl") for k in range(1500))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "é" + text)], "doc_id long, text string")
+    rows = secrets.scan(docs).select("text", secrets.listed(F.col("__base")).alias("got")).collect()
+    assert len(rows) == 3 and all(r.got == plain_secrets(r.text) for r in rows)
+    clean = secrets.redact(docs).collect()
+    assert all(plain_secrets(r.text) == "" and r.text.count("[SECRET]") == 2000 for r in clean)
+
+
 def test_markov(spark):
     rng = np.random.default_rng(9)
     letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
@@ -445,6 +497,19 @@ def test_near_vectors(spark, options):
     assert neighbours.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_repeated_rows(spark):
+    """Rows that repeat an id and vector count one by one; an id with several vectors has one component and the links of all."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.99, 0.01]), (3, [0.0, 1.0]), (3, [1.0, 0.02]), (None, [1.0, 0.0]), (4, [0.0, -1.0])]
+    got = sorted(tuple(r) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).select(F.coalesce("vec_id", F.lit(-1)), "n_links", F.coalesce("component_id", F.lit(-1))).collect())
+    assert got == [(-1, 0, -1), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1), (3, 3, 1), (4, 0, 4)]
+
+
+def test_near_vectors_fails_below_its_target(spark):
+    df, _, _ = vectors(spark)
+    with pytest.raises(RuntimeError):
+        neighbours.near_vectors(df, target=1.1, attempts=1)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 400, 330), rng.integers(0, 400, 330)
@@ -502,6 +567,19 @@ def test_neardup_awkward(spark):
     assert neardup.groups(nothing(spark)).count() == 0
 
 
+def test_neardup_without_ids(spark):
+    """Rows without ids link with near copies, bridge others, and one row of each group stays."""
+    base = words(3, 150)
+    near = lambda *at: " ".join("edit" if k in at else w for k, w in enumerate(base))
+    rows = [(5, near()), (None, near(10)), (9, near(10, 80)), (None, near(10)), (None, " ".join(words(77, 60))), (None, " ".join(words(77, 60))), (None, None), (7, None), (7, " ".join(words(88, 60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.groups(docs, shingle=3, percent=90, distance=17).collect()
+    assert {r.component_id for r in got if r.doc_id in (5, 9)} == {5} and sum(r.component_id == 5 for r in got) == 4
+    kept = neardup.keep_one(docs, shingle=3, percent=90, distance=17).collect()
+    texts = sorted((r.doc_id is None, r.doc_id, (r.text or "")[:20]) for r in kept)
+    assert [t[1] for t in texts if not t[0]] == [5, 7] and len([t for t in texts if t[0]]) == 2
+
+
 def test_keys_cover_the_distance():
     rng = np.random.default_rng(8)
     a = rng.integers(0, 1 << 16, (200, 48)).astype("<u2")
