@@ -15,36 +15,36 @@ from .catalog import query
 from .findings import BASE, RANK, _findings
 
 FILES = [
-    ("app/users.py", '''
+    ("app/readers.py", '''
 from fastapi import APIRouter
-router = APIRouter(prefix="/users")
+router = APIRouter(prefix="/readers")
 
-@router.get("/{user_id}", response_model=dict)
-async def read_user(user_id: int):
+@router.get("/{reader_id}", response_model=dict)
+async def find_reader(reader_id: int):
     """Reads one."""
     time.sleep(1)
     requests.get("http://example.com")
-    return session.query(user_id)
+    return session.query(reader_id)
 
 @router.post("/")
-def create_user(name, mail, age, city, zip_code, street, phone):
+def enrol(name, mail, age, city, zip_code, street, phone):
     try:
         total = name + mail
         return total
     except Exception:
         return None
 
-def is_adult(person):
+def may_vote(person):
     if person.age >= 18:
         return True
     return False
 '''),
     ("app/admin.py", '''
-router = APIRouter(prefix="/users")
+router = APIRouter(prefix="/readers")
 
-@router.get("/{user_id}")
-def read_admin(user_id):
-    return load(user_id)
+@router.get("/{reader_id}")
+def find_staff(reader_id):
+    return load(reader_id)
 
 def grown_up(someone):
     return someone.age >= 18

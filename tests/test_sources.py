@@ -23,14 +23,14 @@ def test_diagnostics(spark):
 
 def test_symbols(spark):
     defs = {r.qualified: r for r in QUERIES["python_definitions"](spark, "").collect() if r.qualified}
-    assert defs["read_user"].route == "GET /users/{user_id}" and defs["read_user"].is_async and defs["Basket.total"].kind == "method"
+    assert defs["find_reader"].route == "GET /readers/{reader_id}" and defs["find_reader"].is_async and defs["Basket.total"].kind == "method"
     groups = [set(r.members) for r in QUERIES["structural_duplicates"](spark, "").collect()]
     assert {"app/admin.py:Basket.total", "app/cart.py:sum_up"} in groups
     meant = QUERIES["semantic_duplicates"](spark, "").collect()
-    assert [(set(r.members), r.rewrites) for r in meant] == [({"app/admin.py:grown_up", "app/users.py:is_adult"}, ["boolean_return"])]
+    assert [(set(r.members), r.rewrites) for r in meant] == [({"app/admin.py:grown_up", "app/readers.py:may_vote"}, ["boolean_return"])]
     assert [r.n for r in QUERIES["fastapi_duplicate_routes"](spark, "").collect()] == [2]
     rules = {(r.rule, r.qualified) for r in QUERIES["python_style_findings"](spark, "").collect()}
-    assert {("style.high_parameter_count", "create_user"), ("python.broad_exception", "create_user")} == rules
+    assert {("style.high_parameter_count", "enrol"), ("python.broad_exception", "enrol")} == rules
 
 
 def test_suppressions_and_edits(spark):
