@@ -118,11 +118,6 @@ def snippet(s: Column, most_lines: int = 12, most_chars: int = 2000) -> Column:
     return F.substring(F.array_join(F.slice(lines(s), 1, most_lines), "\n"), 1, most_chars)
 
 
-def validation_shape(s: Column) -> Column:
-    """The identifier core of every word as an underscore."""
-    return F.array_join(F.transform(F.split(normalised(s), " "), lambda w: F.regexp_replace(w, r"[A-Za-z_][A-Za-z0-9_]*", "_")), " ")
-
-
 def tags(html: Column) -> Column:
     """Opening and closing tags in order."""
     return F.regexp_extract_all(html, F.lit(r"<(/?[A-Za-z][A-Za-z0-9.]*)"), 1)

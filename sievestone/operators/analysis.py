@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import baseline as baselines
-from ..sources import braces, symbols
+from ..sources import braces, diagnostics, symbols
 from ..sources.config import configured, in_scope, limit
 from . import clones, registry, routes, rules, suppressions
 from .findings import gate, suppressed
@@ -69,6 +69,15 @@ def findings(files: DataFrame, config: dict) -> DataFrame:
     return suppressed(found, suppressions.directives(files))
 
 
+def with_external(found: DataFrame, reported: DataFrame) -> DataFrame:
+    """Findings and those of external tools (rows of sources/diagnostics); an external one on lines that a finding covers is absorbed by it."""
+    external = diagnostics.findings_of(reported)
+    spans = found.select("id", "path", F.col("start").alias("start_line"), F.col("start").alias("end_line"))
+    kept, _ = diagnostics.merged(external, spans)
+    given = kept.select("id", "rule", "severity", "confidence", "path", F.col("line").alias("start"), "line", "message", F.col("key").alias("fingerprint"))
+    return found.unionByName(given, allowMissingColumns=True)
+
+
 def checked(found: DataFrame, files: DataFrame, config: dict, *, root: str = ".", ci: bool = True) -> tuple[DataFrame, DataFrame]:
     """Findings with their status beside the configured baseline, and one row that says whether any of ci.fail_on is met."""
     path = os.path.join(root, config["ci"]["baseline"])

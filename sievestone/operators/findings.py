@@ -14,6 +14,7 @@ SEVERITY_PENALTY = {"info": 0, "low": 1, "medium": 3, "high": 8, "critical": 15}
 CONFIDENCES = ("low", "medium", "high", "certain")
 CONFIDENCE_PERCENT = {"low": 25, "medium": 50, "high": 80, "certain": 100}
 GENERATED_PERCENT, TEST_PERCENT, SOURCE_PERCENT = 25, 50, 100
+LANGUAGES = {"py": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "rs": "rust"}
 LEVELS = {"off": None, "info": "info", "low": "low", "warn": "medium", "medium": "medium", "error": "high", "high": "high", "critical": "critical"}
 
 
@@ -42,8 +43,14 @@ def ordered(findings: DataFrame) -> DataFrame:
     return numbered.join(before, "__range").withColumn("place", F.col("__ahead") + F.col("__nth") + 1).drop("__range", "__nth", "__ahead")
 
 
-def allowed(findings: DataFrame, *, min_severity: str | None = None, min_confidence: str | None = None, frameworks: tuple[str, ...] = ()) -> DataFrame:
-    """Findings without a framework pass every framework filter."""
+def allowed(findings: DataFrame, *, min_severity: str | None = None, only_severity: str | None = None, min_confidence: str | None = None, frameworks: tuple[str, ...] = (), languages: tuple[str, ...] = ()) -> DataFrame:
+    """Findings without a framework pass every framework filter; those without a language have that of their file's extension."""
+    if only_severity:
+        findings = findings.where(F.col("severity") == only_severity)
+    if languages:
+        named = F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+        own = F.coalesce(F.col("language"), named) if "language" in findings.columns else named
+        findings = findings.where(own.isin(*languages))
     if min_severity:
         findings = findings.where(rank(F.col("severity"), SEVERITIES) >= SEVERITIES.index(min_severity) + 1)
     if min_confidence:

@@ -239,14 +239,10 @@ pairs AS (SELECT a.vec_id AS l, b.vec_id AS r, round((list_dot_product(a.e, b.e)
 
 
 def _vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact pairs of one label, in blocks: each vector meets the rest of its label's 16 salted parts."""
+    """Exact pairs of one label, whose vectors are cut into blocks by their number. simhash_pairs is the way that compares fewer."""
     unit = table(spark, sf_dir, "embeddings").select("vec_id", "label", similarity.normalised_vector(F.col("embedding")).alias("e"))
-    parts = 16
-    left = unit.withColumn("part", F.pmod("vec_id", F.lit(parts)))
-    right = unit.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    a, b = left.alias("a"), right.alias("b")
-    same = (F.col("a.label") == F.col("b.label")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.vec_id") < F.col("b.vec_id"))
-    return a.join(b, same).select(F.col("a.vec_id").alias("l"), F.col("b.vec_id").alias("r"), similarity.cosine_percent(F.col("a.e"), F.col("b.e")).alias("score")).where("score >= 65")
+    sized = unit.join(unit.groupBy("label").agg(F.count("*").alias("n")), "label")
+    return groups.blocked_pairs(sized, F.col("n"), "vec_id", ["label"]).select(F.col("a.vec_id").alias("l"), F.col("b.vec_id").alias("r"), similarity.cosine_percent(F.col("a.e"), F.col("b.e")).alias("score")).where("score >= 65")
 
 
 @query(f"WITH {VEC_SQL} SELECT l, r, score FROM pairs WHERE score >= 65")

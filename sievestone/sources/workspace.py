@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text
+from ..operators.findings import LANGUAGES
 
-# Directories that are never entered, and languages by extension.
+# Directories that are never entered, and other languages by extension.
 IGNORED = frozenset(".git .hg .svn .venv venv node_modules target dist build coverage __pycache__ .next .cache".split())
-LANGUAGES = {"py": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "rs": "rust"}
 DISCOVERY = {"js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx"}
 MOST_BYTES = 1_048_576
 #: What one task reads.

@@ -193,6 +193,19 @@ def test_overlapping_routes(spark):
     assert got == {(a, b) for _, a, x in rows for _, b, y in rows if a < b and len(x) == len(y) and all(p == q or free(p) or free(q) for p, q in zip(x, y, strict=True))}
 
 
+def test_external_findings_are_absorbed(spark):
+    found = finding_rows(spark, [("r.one", "a.ts", 3, "m")]).withColumn("start", F.col("line"))
+    reported = spark.createDataFrame([("eslint", "a.ts", 3, 1, "no-var", "said", "high", "high"), ("eslint", "a.ts", 4, 1, "no-var", "said", "medium", "high"), ("eslint", "a.ts", 4, 1, "no-var", "said", "high", "high")], "tool string, path string, line long, col long, code string, message string, severity string, confidence string")
+    rows = analysis.with_external(found, reported).collect()
+    assert sorted((r.rule, r.start, r.severity) for r in rows) == [("external.eslint.no.var", 4, "high"), ("r.one", 3, "high")]
+
+
+def test_filters(spark):
+    rows = finding_rows(spark, [("a", "x.py", 1, "m"), ("b", "y/z.rs", 1, "m"), ("c", "w", 1, "m")]).withColumn("severity", F.when(F.col("rule") == "a", "low").otherwise("high"))
+    names = lambda **o: {r.rule for r in findings.allowed(rows, **o).collect()}
+    assert names(languages=("rust",)) == {"b"} and names(only_severity="low") == {"a"} and names(languages=("python", "rust"), min_severity="high") == {"b"}
+
+
 SOURCE = "".join(f"line {k}\n" for k in range(1, 41))
 
 
