@@ -11,8 +11,9 @@ neighbouring pivots form shards. A query goes to the shards of the files of its
 the footrule distance (differences of places, a pivot that one side doesn't name counting as place
 `prefix`) is summed through postings of the shard's permutations, what lies under the query's bar is
 ranked on the original vectors, and the best are merged. The bar is the distance that a share of the
-band's pivots stay under. A band is left out where even its longest vector along the query would score
-less than k + 1 pivots do, which loses nothing.
+band's pivots stay under. Before that a query visits the few shards of the pivots it scores best with.
+What k + 1 of their vectors reach is a floor for its answer, so from the other shards only better ones
+return, and a band is left out where even its longest vector along the query would score less.
 
 How many files are visited and how high the bar is, is one of the EFFORTS, the last of which leaves out
 nothing. It is found by an audit: one pass compares a bounded sample of queries with all vectors and sees
@@ -146,6 +147,8 @@ class Index:
     top: float  # length of the longest vector
     sample: np.ndarray  # the pivots as they are
     leads: np.ndarray  # their smallest ids
+    band_at: np.ndarray  # their bands
+    place_at: np.ndarray  # and their places there
     k: int
 
     def band_of(self, x: np.ndarray) -> np.ndarray:
@@ -181,7 +184,7 @@ def fit(classes: DataFrame, *, k: int, pivots: int, rows_per_pivot: int, prefix:
     drawn = classes.where(F.pmod(F.xxhash64(F.lit("pivot"), "v"), F.lit(1 << 40)) < int(share * (1 << 40))).select("v", F.col("ids")[0].alias("lead")).collect()
     drawn.sort(key=lambda r: (r.lead, list(r.v)))
     sample = np.array([list(r.v) for r in drawn], np.float64).reshape(len(drawn), -1)
-    index = Index({}, top, sample, np.array([r.lead for r in drawn], np.int64), k)
+    index = Index({}, top, sample, np.array([r.lead for r in drawn], np.int64), np.empty(0, np.int64), np.zeros(len(drawn), np.int64), k)
     number = F.least(F.lit(LAST_BAND), F.floor(F.log(F.lit(top) / length) / np.log(RATIO) + 1e-9)).cast("int")
     of = index.band_of(sample) if len(sample) else np.empty(0, np.int32)
     for row in classes.groupBy(number.alias("band")).agg(F.count("*").alias("rows"), F.max(length).alias("longest")).collect():
@@ -189,8 +192,10 @@ def fit(classes: DataFrame, *, k: int, pivots: int, rows_per_pivot: int, prefix:
             known = index.bands.get(b)
             longest, size = max(row.longest, known.longest if known else 0.0), row.rows if b == row.band else 0
             index.bands[b] = Band(longest, np.empty((0, 0)), prefix, np.empty(0, np.int32), max(size, known.shards if known else 0))
+    index.band_at = of
     for b, band in index.bands.items():
         own = sample[of == b]
+        index.place_at[of == b] = np.arange(len(own))
         band.longest *= 1 + 1e-12
         if len(own) == 0:
             band.shards = 1
@@ -226,8 +231,40 @@ def posted(classes: DataFrame, index: Index) -> DataFrame:
     return classes.select("c", "v", "ids").mapInArrow(deal, f"shard long, c long, ids array<long>, v {kind_of(classes)}, file int, perm binary")
 
 
+ROUTED = "shard long, q long, v {kind}, files array<int>, perm binary, bar int, floor double"
+
+
+def packed(rows: list[tuple], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, place in the batch, files, perm, bar, floor) with the queries they are about."""
+    for a in range(0, len(rows), 10_000):
+        shard, i, files, perm, bar, floor = zip(*rows[a : a + 10_000], strict=True)
+        at = pa.array(i, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(files, pa.list_(pa.int32())), pa.array(perm, pa.binary()), pa.array(bar, pa.int32()), pa.array(floor, pa.float64())], names=["shard", "q", "v", "files", "perm", "bar", "floor"])
+
+
+def homeward(asked: DataFrame, index: Index, pivots: int = 4) -> DataFrame:
+    """As routed: each query to the shards of the pivots that it scores best with, all of whose files it visits."""
+    shared = asked.sparkSession.sparkContext.broadcast(index)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            q = matrix(batch.column(1))
+            if len(q) == 0 or len(index.sample) == 0:
+                continue
+            rows = []
+            for i, scores in enumerate(q @ index.sample.T):
+                best = np.argsort(-scores, kind="stable")[:pivots]
+                for b, s in {(int(index.band_at[p]), int(index.bands[int(index.band_at[p])].shard_of[index.place_at[p]])) for p in best}:
+                    band = index.bands[b]
+                    rows.append(((b << 32) + s, i, np.flatnonzero(band.shard_of == s).astype(np.int32), bytes(4 * band.prefix), 0, -np.inf))
+            yield from packed(rows, batch)
+
+    return asked.select("q", "v").mapInArrow(deal, ROUTED.format(kind=kind_of(asked)))
+
+
 def routed(asked: DataFrame, index: Index, effort: int) -> DataFrame:
-    """(shard, q, v, files, perm, bar, floor): each query to the shards it asks, with the files it visits there."""
+    """(shard, q, v, files, perm, bar, floor): each query (q, v, floor) to the shards it asks, with the files it visits there."""
     shared = asked.sparkSession.sparkContext.broadcast(index)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +273,8 @@ def routed(asked: DataFrame, index: Index, effort: int) -> DataFrame:
             q = matrix(batch.column(1))
             if len(q) == 0:
                 continue
-            floor, reach = index.floors(q), np.linalg.norm(q, axis=1)
+            known = batch.column(2).to_numpy(zero_copy_only=False)
+            floor, reach = np.maximum(index.floors(q), known - 1e-9 * (1 + np.abs(known))), np.linalg.norm(q, axis=1)
             rows: list[tuple] = []
             for b, band in index.bands.items():
                 part = np.flatnonzero(reach * band.longest >= floor)
@@ -255,12 +293,9 @@ def routed(asked: DataFrame, index: Index, effort: int) -> DataFrame:
                         cuts = np.flatnonzero(np.diff(shards[by])) + 1
                         perm = own[: band.prefix].tobytes()
                         rows += [((b << 32) + int(shards[g[0]]), int(i), files[g], perm, int(bar), floor[i]) for g in np.split(by, cuts)]
-            for a in range(0, len(rows), 10_000):
-                shard, i, files, perm, bar, floor_ = zip(*rows[a : a + 10_000], strict=True)
-                at = pa.array(i, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(files, pa.list_(pa.int32())), pa.array(perm, pa.binary()), pa.array(bar, pa.int32()), pa.array(floor_, pa.float64())], names=["shard", "q", "v", "files", "perm", "bar", "floor"])
+            yield from packed(rows, batch)
 
-    return asked.select("q", "v").mapInArrow(deal, f"shard long, q long, v {kind_of(asked)}, files array<int>, perm binary, bar int, floor double")
+    return asked.select("q", "v", "floor").mapInArrow(deal, ROUTED.format(kind=kind_of(asked)))
 
 
 def first_ids(scores: np.ndarray, members: list[np.ndarray], k: int) -> list[tuple[int, float]]:
@@ -422,9 +457,14 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
         effort, recall = audited(classes, different, index, k, audit_queries, target)
     else:
         recall = None
-    found = answered(posted(classes, index), routed(different, index, effort), k + 1, rows_per_block)
+    files = cut(posted(classes, index))
     # An answer holds k ids beside the query's own, so k + 1 of each different query are enough.
+    near = cut(answered(files, homeward(different, index), k + 1, rows_per_block))
     best = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    floors = near.groupBy("q", "vec_id").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
+    floors = floors.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") > k).select("q", "floor")
+    wanted = different.join(floors, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = answered(files, routed(wanted, index, effort), k + 1, rows_per_block).unionByName(near)
     found = found.groupBy("q", "vec_id").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
     answers = asked.join(different, "v").select("id", "q").join(found, "q").where(F.col("id") != F.col("vec_id"))
     answers = answers.groupBy("id", "vec_id").agg(F.max("score").alias("score"))
