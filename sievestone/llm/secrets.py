@@ -94,27 +94,32 @@ def model(samples: DataFrame) -> list[int]:
     return [round(1000 * math.log2(chance(True, a, b) / chance(False, a, b))) for a in range(n) for b in range(n)]
 
 
-def running(items: Column, zero: Column, step, emit, chunk: int = 256) -> Column:
+def let(value: Column, body) -> Column:
+    """body(value), the value being computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(items: Column, zero: Column, step, emit, state: str, result: str, chunk: int = 256) -> Column:
     """emit(state, item) for each item of an array, the state being that of the items before it.
 
     The states at the starts of chunks come first and each chunk is walked by itself, so that growing an
-    array item by item copies a chunk at most.
+    array item by item copies a chunk at most. state and result are the types of both.
     """
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / chunk).cast("int")), lambda j: F.slice(items, j * chunk + 1, F.lit(chunk)))
-    first = lambda kind: F.filter(F.array(kind), lambda _: F.lit(False))
-    starts = F.aggregate(
-        cut,
-        F.struct(zero.alias("state"), first(zero).alias("got")),
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    cut = lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(own), F.lit(1)) - 1) / chunk).cast("int")), lambda j: F.slice(own, j * chunk + 1, F.lit(chunk)))
+    starts = lambda chunks: F.aggregate(
+        chunks,
+        F.struct(zero.alias("state"), none(state).alias("got")),
         lambda a, own: F.struct(F.aggregate(own, a["state"], step).alias("state"), F.concat(a["got"], F.array(a["state"])).alias("got")),
         lambda a: a["got"],
     )
     walked = lambda own, start: F.aggregate(
         own,
-        F.struct(start.alias("state"), first(emit(zero, F.element_at(items, 1))).alias("got")),
+        F.struct(start.alias("state"), none(result).alias("got")),
         lambda a, x: F.struct(step(a["state"], x).alias("state"), F.concat(a["got"], F.array(emit(a["state"], x))).alias("got")),
         lambda a: a["got"],
     )
-    return F.flatten(F.zip_with(cut, starts, walked))
+    return let(items, lambda own: let(cut(own), lambda chunks: F.flatten(F.zip_with(chunks, starts(chunks), walked))))
 
 
 def places(text: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -128,7 +133,7 @@ def places(text: Column, pattern: str, kind: int, keep=None) -> Column:
         start = at + pair["g"]
         return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + pair["m"]["n"]).alias("end"), pair["m"]["ok"].alias("ok"))
 
-    spans = running(pairs, F.lit(0), lambda at, pair: at + pair["g"] + pair["m"]["n"], span)
+    spans = running(pairs, F.lit(0), lambda at, pair: at + pair["g"] + pair["m"]["n"], span, "int", "struct<start:int,kind:int,end:int,ok:boolean>")
     spans = F.transform(F.filter(spans, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
@@ -160,7 +165,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = N
         return F.when(s["start"] >= end, F.concat(F.substr(text, end + 1, s["start"] - end), F.lit(mark))).otherwise(F.lit(""))
 
     last = F.array_max(F.transform("__spans", lambda s: s["end"]))
-    clean = F.concat(F.array_join(running(F.col("__spans"), F.lit(0), lambda end, s: F.greatest(end, s["end"]), piece), ""), F.substr(text, last + 1, F.length(text)))
+    clean = F.concat(F.array_join(running(F.col("__spans"), F.lit(0), lambda end, s: F.greatest(end, s["end"]), piece, "int", "string"), ""), F.substr(text, last + 1, F.length(text)))
     hit = F.size("__spans") > 0
     rows = rows.withColumn("__text", F.when(hit, clean).otherwise(F.col(text_col)))
     rows = rows.withColumn(text_col, F.col("__text"))
