@@ -209,7 +209,7 @@ def kept_words(docs: DataFrame) -> DataFrame:
     return docs.select("id", "tag", "text", "gone").mapInArrow(drop, "id long, tag long, n_removed long, kept_sha256 string")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, m: int = 8, hot: int = 1 << 19) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, m: int = 8, hot: int = 1 << 21) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 per row of docs."""
     m = min(m, window)
     rows = docs.select(id_or_last(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
