@@ -1,4 +1,4 @@
-"""Near vectors of one label, compared block by block."""
+"""Near vectors of one label, compared block by block: their pairs, and edges that connect the same ones."""
 
 from __future__ import annotations
 
@@ -106,3 +106,36 @@ def near_pairs(rows: DataFrame, threshold: int, buckets: DataFrame | None = None
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(l, r)), pa.array(np.maximum(l, r)), pa.array(score[kept])], ["l", "r", "score"])
 
     return _meetings(rows, buckets).groupBy("label", "width", "i", "j").applyInArrow(compare, "l long, r long, score int")
+
+
+def _joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """root, by node the smallest node of its component, after nodes p and q are linked."""
+    while len(p):
+        low, high = np.minimum(root[p], root[q]), np.maximum(root[p], root[q])
+        apart = low < high
+        p, q, low, high = p[apart], q[apart], low[apart], high[apart]
+        np.minimum.at(root, high, low)
+        while (root != (up := root[root])).any():
+            root = up
+    return root
+
+
+def near_links(rows: DataFrame, threshold: int) -> DataFrame:
+    """(l, r): edges that connect what near_pairs connects, at most one for each row where two blocks meet.
+
+    Where blocks meet, each id is linked to the smallest one that it reaches there; blocks that are one
+    component already need not be compared further.
+    """
+
+    def connect(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same, ((ids, a, _), (others, b, _)) = _sides(key, batches)
+        nodes, at = np.unique(np.concatenate([ids, others]), return_inverse=True)
+        root = np.arange(len(nodes))
+        for p, q, _ in _near(a, b, same, threshold):
+            root = _joined(root, at[p], at[len(ids) + q])
+            if not root.any():
+                break
+        linked = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[root[linked]]), pa.array(nodes[linked])], ["l", "r"])
+
+    return _meetings(rows).groupBy("label", "width", "i", "j").applyInArrow(connect, "l long, r long")
