@@ -33,7 +33,7 @@ def _meetings(rows: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
     placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int"))
     placed = placed.join(buckets, "vec_id") if buckets is not None else placed
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+    return met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other").repartition("label", "width", "i", "j")  # else a label stays in one task, where the join has put it
 
 
 def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
